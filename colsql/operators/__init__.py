@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Operators that Spark lacks, as SQL expressions and DataFrame functions."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""The dialect: lexer, parser, and lowering to Spark SQL."""

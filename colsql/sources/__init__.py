@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Versioned tables and intermediate files."""

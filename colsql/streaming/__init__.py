@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Live queries and buffered writers."""
