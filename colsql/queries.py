@@ -141,10 +141,11 @@ q("fts_match_prefix", "documents", "SELECT doc_id FROM documents WHERE OCTET_LEN
 
 
 def _bm25(n: str) -> str:
+    tokens = _TOKENS.replace("[a-z0-9]", r"[\p{L}\p{N}]")
     tf = {"the": "len(list_filter(d, lambda x: x = 'the'))", "er": "len(list_filter(d, lambda x: starts_with(x, 'er')))"}
     part = " + ".join(f"ln(1 + (n - df_{k} + 0.5) / (df_{k} + 0.5)) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * len(d) / (total / n)))" for k, f in tf.items())
     stats = "SELECT CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(len(d)) AS DOUBLE) AS total, " + ", ".join(f"CAST(COUNT(*) FILTER (WHERE {f} > 0) AS DOUBLE) AS df_{k}" for k, f in tf.items()) + " FROM d"
-    return f"WITH d AS (SELECT benchmark.item_id, {_TOKENS} AS d FROM benchmark), s AS ({stats}) SELECT item_id, ROUND({part}, 6) AS {n} FROM d, s"
+    return f"WITH d AS (SELECT benchmark.item_id, {tokens} AS d FROM benchmark), s AS ({stats}) SELECT item_id, ROUND({part}, 6) AS {n} FROM d, s"
 
 
 q("fts_bm25", "benchmark", "SELECT item_id, ROUND(BM25(text) AGAINST 'the er*', 6) AS score FROM benchmark", _bm25("score"))
