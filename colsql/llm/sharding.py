@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -15,6 +15,8 @@ from .common import drop, written
 BINS, ROUNDS, PARTS = 1024, 4, 64
 #: What a median may be off, as a share of all bytes.
 TOLERANCE = 2e-5
+#: Points with more than this share of a shard, and of all bytes, are placed one by one on the driver: they are fewer than MOST_HEAVY.
+HEAVY, MOST_HEAVY = 1 / 64, 4096
 
 
 @dataclass
@@ -29,6 +31,7 @@ class Node:
     left: Node | None = None
     right: Node | None = None
     shard: int = -1
+    heavy: list[Row] = field(default_factory=list)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -46,13 +49,32 @@ def _unit(x: Column) -> Column:
     return F.shiftrightunsigned(x, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """Equal texts as one point each: weight, and dimensions d0.. scaled to [0, 1): smallest doc_id, size, language, source."""
-    out = written(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("doc"), F.max("size").alias("one"), F.min("lang").alias("d2"), F.min("source").alias("d3")))
-    low, high, large = out.agg(F.min("doc"), F.max("doc"), F.max("one")).first()
+def points_of(rows: DataFrame, whole: float) -> DataFrame:
+    """Points of the tree: weight, tie-break, and dimensions d0.. scaled to [0, 1): smallest doc_id, size, language, source.
+
+    Equal texts are one point, unless they have more than whole bytes: then rows of each doc_id are a point. Groups so large
+    are fewer than all bytes divided by whole, so their keys are a bounded list.
+    """
+    by_text = written(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("doc"), F.max("size").alias("one"), F.min("lang").alias("d2"), F.min("source").alias("d3")))
+    low, high, large = by_text.agg(F.min("doc"), F.max("doc"), F.max("one")).first()
     low, high = low or 0, high or 0
+    big = [r.key for r in by_text.where(F.col("weight") > whole).select("key").collect()]
+    out = by_text.select(F.col("key").alias("point"), "weight", "doc", "one", "d2", "d3").where(~F.col("key").isin(big))
+    if big:
+        high = max(high, rows.agg(F.max("doc_id")).first()[0] or 0)
+        one_by_one = rows.where(F.col("key").isin(big)).groupBy(point_of(big).alias("point"))
+        out = out.unionByName(one_by_one.agg(F.sum("size").alias("weight"), F.min("doc_id").alias("doc"), F.max("size").alias("one"), F.min("lang").alias("d2"), F.min("source").alias("d3")))
     scaled = ((F.coalesce("doc", F.lit(low)) - low).cast("double") / float(high - low + 1), F.log1p(F.col("one").cast("double")) / F.log1p(F.lit(float((large or 0) + 1))))
-    return out.select("key", "weight", scaled[0].alias("d0"), scaled[1].alias("d1"), "d2", "d3", _unit(F.xxhash64("key", F.lit(1))).alias("tie"))
+    points = written(out.select("point", "weight", scaled[0].alias("d0"), scaled[1].alias("d1"), "d2", "d3", _unit(F.xxhash64("point", F.lit(1))).alias("tie")))
+    drop(by_text)
+    points.big = big
+    return points
+
+
+def point_of(big: list[int]) -> Column:
+    """The point that a row is in: its text's key, or in a group too large to stay together one by doc_id."""
+    key = F.col("key")
+    return F.when(key.isin(big), F.xxhash64("key", "doc_id")).otherwise(key) if big else key
 
 
 DIMS = ("d0", "d1", "d2", "d3")
@@ -80,11 +102,13 @@ def _split(points: DataFrame, root: Node, boxes: list[Node]) -> None:
     state = {}
     for i, b in enumerate(boxes):
         r = ends.get(i)
-        spread = [r[f"{d}h"] - r[f"{d}l"] for d in DIMS] if r else [0.0] * len(DIMS)
+        b.left, b.right = Node(b.leaves // 2, 0), Node(b.leaves - b.leaves // 2, 0)
+        spread = [max(x) - min(x) if (x := [*([r[f"{d}l"], r[f"{d}h"]] if r else []), *(h[d] for h in b.heavy)]) else 0.0 for d in DIMS]
         b.dim = spread.index(max(spread))
+        aim = b.bytes * b.left.leaves / b.leaves - _deal(b)
         low, high = (r[f"{DIMS[b.dim]}l"], r[f"{DIMS[b.dim]}h"]) if r else (0.0, 0.0)
         # stage 0: by value in [low, high]; stage 1: by tie-break in [low, high], at one value
-        state[i] = {"stage": 0 if high > low else 1, "low": low if high > low else 0.0, "high": high if high > low else 1.0, "at": low, "below": 0, "rounds": 0, "aim": b.bytes * (b.leaves // 2) / b.leaves}
+        state[i] = {"stage": 0 if high > low else 1, "low": low if high > low else 0.0, "high": high if high > low else 1.0, "at": low, "below": 0, "rounds": 0, "aim": aim}
         b.value, b.tie = low, 0.0
     total = max(1, root.bytes)
     while state:
@@ -132,42 +156,60 @@ def _split(points: DataFrame, root: Node, boxes: list[Node]) -> None:
                     del state[i]
                 else:
                     s |= {"low": l, "high": h, "below": below}
-    for b in boxes:
-        b.left, b.right = Node(b.leaves // 2, 0), Node(b.leaves - b.leaves // 2, 0)
 
 
-def tree(points: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> Node:
-    """Split until each leaf holds about target_bytes, or the bytes of all divided by shards."""
-    total = int(points.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
-    n = shards or max(1, -(-total // max(1, target_bytes or total)))
-    root = Node(n, total)
+def _deal(b: Node) -> int:
+    """Heavy points have a median of their own along the box's dimension, so that the others can even out what is left. The
+    bytes that go left."""
+    share, at, left = sum(h.weight for h in b.heavy) * b.left.leaves / b.leaves, 0, 0
+    for h in sorted(b.heavy, key=lambda h: (h[DIMS[b.dim]], h.tie)):
+        side = b.left if at + h.weight / 2 <= share else b.right
+        side.heavy.append(h)
+        at += h.weight
+        left += h.weight if side is b.left else 0
+    return left
+
+
+def tree(light: DataFrame, heavy: list[Row], total: int, shards: int) -> Node:
+    """Splits boxes in two until there are as many leaves as shards, each with an equal part of all bytes."""
+    root = Node(shards, total, heavy=heavy)
     while boxes := [x for x in _leaves(root) if x.leaves > 1]:
-        _split(points, root, boxes)
+        _split(light, root, boxes)
         leaves = _leaves(root)
-        held = dict(points.groupBy(_of(root, {id(b): i for i, b in enumerate(leaves)}).alias("box")).agg(F.sum("weight")).collect())
+        held = dict(light.groupBy(_of(root, {id(b): i for i, b in enumerate(leaves)}).alias("box")).agg(F.sum("weight")).collect())
         for i, b in enumerate(leaves):
-            b.bytes = int(held.get(i) or 0)
+            b.bytes = int(held.get(i) or 0) + sum(h.weight for h in b.heavy)
     for i, b in enumerate(_leaves(root)):
         b.shard = i
     return root
 
 
 def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row: shards of nearly equal bytes, equal texts together.
+    """(doc_id, size, text_crc32, shard, slot) of every row: shards of nearly equal bytes, shards of them, or as many as make
+    about target_bytes each.
 
-    Slots number a shard's rows from 0 without gaps. A group of equal texts isn't divided, so a shard can be as much too
-    large as half a group. Null texts are empty ones; null doc_ids count as the smallest; rows repeat as often as in docs;
-    metadata columns may be missing or null; other columns are not looked at; an empty table gives no rows.
+    Slots number a shard's rows from 0 without gaps. Equal texts share a shard, unless they have more bytes than a shard
+    should: then only equal rows do. Null texts are empty ones; null doc_ids count as the smallest; rows repeat as often as in
+    docs; metadata columns may be missing or null; other columns are not looked at; an empty table gives no rows.
     """
     rows = written(sizes(docs))
-    points = written(groups(rows))
-    root = tree(points, shards, target_bytes)
-    of = written(points.select("key", _of(root, {id(b): b.shard for b in _leaves(root)}).cast("int").alias("shard")))
-    placed = written(rows.join(of, "key").select("doc_id", "size", "text_crc32", "shard", "key", F.pmod(F.xxhash64("doc_id", "size"), F.lit(PARTS)).cast("int").alias("part")))
+    total = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    shards = shards or max(1, -(-total // max(1, target_bytes or total)))
+    points = points_of(rows, total / shards)
+    heavier = F.col("weight") > max(HEAVY * total / shards, total / MOST_HEAVY)
+    heavy = points.where(heavier).collect()
+    root = tree(points.where(~heavier), heavy, total, shards)
+    placed = {h.point: leaf.shard for leaf in _leaves(root) for h in leaf.heavy}
+    of = points.where(~heavier).select("point", _of(root, {id(b): b.shard for b in _leaves(root)}).cast("int").alias("shard"))
+    if placed:
+        of = of.union(docs.sparkSession.sql("VALUES " + ", ".join(f"(bigint('{p}'), {s})" for p, s in placed.items())))
+    of = written(of)
+    slotted = rows.withColumn("point", point_of(points.big)).join(of, "point").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(PARTS)).cast("int").alias("part"))
+    slotted = written(slotted)
     drop(rows, points, of)
     # at most shards * PARTS counts
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    counts = slotted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "part", start.alias("start"))
     at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1
-    return placed.withColumn("at", at).join(F.broadcast(starts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
+    return slotted.withColumn("at", at).join(F.broadcast(starts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
