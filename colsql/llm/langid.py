@@ -190,7 +190,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(base, partial(_predicted, model=docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
+def _known(batches: Iterator[pa.RecordBatch], model, min_score: float, at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lang, score = model.value.predict(b.column(at).to_pylist())
+        yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose language can be told: not `und`, and with a score of min_score at least."""
-    found = predict(docs.withColumn("_text", F.col("text")).select("*"), fit(docs)).drop("_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    """The rows of docs, all columns whatever their names, whose language can be told: not `und`, and with a score of min_score
+    at least. The labels of docs teach; a table without labels teaches nothing and loses all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    return map_arrow(docs, partial(_known, model=shared, min_score=min_score, at=docs.columns.index("text")), docs.schema)
