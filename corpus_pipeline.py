@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the rows with the smallest doc_id, of equal such rows one. Rows with a null doc_id stay."""
     found = simhash.near_copies(docs)
-    keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct())
-    named = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    keep = written(found.where("doc_id = component_id").select("doc_id").distinct())
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
