@@ -1,3 +1,22 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]"
+
+OP2_QUALITY = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM t),
+pos AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM m),
+nxt AS (SELECT r, i, w, lead(w) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS c, lead(w, 4) OVER o AS d, lead(w, 5) OVER o AS e, lead(w, 6) OVER o AS f, lead(w, 7) OVER o AS g FROM pos WINDOW o AS (PARTITION BY r ORDER BY i)),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, a, b, c, d, e, f, g) AS n FROM nxt WHERE g IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM win, range(0, 8) AS o(k) WHERE n > 1 GROUP BY r),
+stut AS (SELECT r, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n FROM m),
+s AS (SELECT m.r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  len(lines) AS n_lines, stut.n AS n_stutters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower, length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts
+  FROM m JOIN stut ON m.r = stut.r LEFT JOIN rep ON m.r = rep.r),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)
+  OR 5 * n_stutters > n_words OR (2 * n_upper > n_upper + n_lower AND n_upper + n_lower > 0) OR 5 * n_shouts > n_words) AS kept FROM b"""
+
+ORACLES: dict[str, str] = {"op2_quality": OP2_QUALITY}
