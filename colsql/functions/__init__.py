@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import importable
 from . import json, text
 
 
@@ -23,6 +24,7 @@ def exact_round(x: pd.Series, digits: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.udf.register("colsql_tokens", F.pandas_udf(text.tokens_udf, "array<string>"))
     spark.udf.register("colsql_json", F.pandas_udf(json.select_udf, "string"))
     spark.udf.register("colsql_json_kind", F.pandas_udf(json.kind_udf, "string"))
