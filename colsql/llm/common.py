@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 #: Rows of an Arrow batch. Texts may be very long, so the default of 10,000 rows isn't a bound on a worker's memory.
 BATCH_ROWS = 512
 #: What no word holds: the words of a text are its maximal runs of other characters. bytes.split() splits by exactly these.
@@ -22,6 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows."""
+    importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
 
