@@ -1,5 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
+from . import spotsigs
+
 _WORD = r"[^\x20\x09-\x0D]"
 
 OP2_QUALITY = rf"""
@@ -19,4 +21,30 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
   NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)
   OR 5 * n_stutters > n_words OR (2 * n_upper > n_upper + n_lower AND n_upper + n_lower > 0) OR 5 * n_shouts > n_words) AS kept FROM b"""
 
-ORACLES: dict[str, str] = {"op2_quality": OP2_QUALITY}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spotsigs(words: str) -> str:
+    """The signatures of a list of words, as in .spotsigs."""
+    anchors = "[" + ", ".join(f"'{a}'" for a in dict.fromkeys(spotsigs.ANCHORS)) + "]"
+    content = f"list_filter({words}[i + 1:i + {spotsigs.REACH}], lambda x: NOT list_contains({anchors}, x))"
+    chains = f"list_transform(list_filter(range(1, len({words}) + 1), lambda i: list_contains({anchors}, {words}[i]) AND len({content}) > 0), lambda i: left(md5({words}[i] || ' ' || array_to_string(({content})[1:{spotsigs.CHAIN}], ' ')), 8))"
+    whole = f"[left(md5(array_to_string(list_concat([''], {words}), ' ')), 8)]"
+    return f"(CASE WHEN len({chains}) > 0 THEN list_sort(list_distinct({chains})) ELSE {whole} END)"
+
+
+def _jaccard(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}, {b}))"
+    return f"CAST({shared} AS DOUBLE) / (len({a}) + len({b}) - {shared})"
+
+
+OP6_SPOTSIGS = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM t),
+e AS (SELECT *, left(text, n - n // 2) || left(next, n // 2) AS edited FROM p),
+w AS (SELECT doc_id, n, edited, regexp_extract_all({_LOWER.format("text")}, '{_WORD}+') AS w0, regexp_extract_all({_LOWER.format("edited")}, '{_WORD}+') AS w1, regexp_extract_all({_LOWER.format("next")}, '{_WORD}+') AS w2 FROM e),
+s AS (SELECT doc_id, n, edited, {_spotsigs("w0")} AS s0, {_spotsigs("w1")} AS s1, {_spotsigs("w2")} AS s2 FROM w)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s0, '') AS fingerprint, array_to_string(s1, '') AS edited_fingerprint,
+  {_jaccard("s0", "s1")} AS near_edited, {_jaccard("s0", "s2")} AS near_next FROM s"""
+
+ORACLES: dict[str, str] = {"op2_quality": OP2_QUALITY, "op6_spotsigs": OP6_SPOTSIGS}

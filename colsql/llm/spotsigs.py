@@ -26,26 +26,31 @@ def words(text: Column) -> Column:
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> Column:
-    """The ascending distinct 32-bit hashes of a text's spot signatures: an anchor and the next content words after it.
+    """The ascending distinct hashes (8 hex digits, of MD5) of a text's spot signatures: an anchor and the next content words
+    after it, joined by spaces.
 
-    A text without a signature has one of its words as a whole, so that equal texts are alike and others aren't.
+    A text without a signature has one of its words as a whole, a space before each, so that equal texts are alike and
+    others aren't.
     """
 
+    def digest(parts: Column) -> Column:
+        return F.substring(F.md5(F.concat_ws(" ", parts).cast("binary")), 1, 8)
+
     def of(w: Column, i: Column, all_words: Column) -> Column:
         content = F.filter(F.slice(all_words, i + 2, reach), lambda x: ~x.isin(anchors))
         found = F.slice(content, 1, chain)
-        return F.when(w.isin(anchors) & (F.size(content) > 0), F.hash(F.concat(F.array(w), found)))
+        return F.when(w.isin(anchors) & (F.size(content) > 0), digest(F.concat(F.array(w), found)))
 
     def sigs(all_words: Column) -> Column:
         return F.array_distinct(F.array_compact(F.transform(all_words, lambda w, i: of(w, i, all_words))))
 
-    bound = F.transform(F.array(words(text)), lambda ws: F.struct(sigs(ws).alias("s"), F.hash(ws).alias("h")))[0]
-    return F.transform(F.array(bound), lambda b: F.when(F.size(b["s"]) > 0, F.sort_array(b["s"])).otherwise(F.array(b["h"])))[0]
+    bound = F.transform(F.array(words(text)), lambda ws: F.struct(sigs(ws).alias("s"), ws.alias("w")))[0]
+    return F.transform(F.array(bound), lambda b: F.when(F.size(b["s"]) > 0, F.sort_array(b["s"])).otherwise(F.array(digest(F.concat(F.array(F.lit("")), b["w"])))))[0]
 
 
 def fingerprint(sigs: Column) -> Column:
-    """Signatures in text form: 8 hex digits each, in order."""
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """Signatures in text form, in order."""
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
