@@ -74,10 +74,12 @@ def cell_sql(name: str, kind: str | None) -> str:
 
 
 def number_text(x: str) -> str:
-    """A number as text: no point for whole numbers, no exponent below 1e21."""
+    """A number as text: the shortest digits that give it back, without an exponent from 1e-6 up to below 1e21."""
     whole = f"cast(cast({x} AS DECIMAL(38,0)) AS STRING)"
-    part = f"CASE WHEN abs({x}) >= 1e7 THEN regexp_replace(cast(cast({x} AS DECIMAL(38,9)) AS STRING), '0+$', '') ELSE lower(cast(cast({x} AS DOUBLE) AS STRING)) END"
-    return f"(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e21 THEN {whole} ELSE {part} END)"
+    plain = f"rtrim('0', cast(cast({x} AS DECIMAL(38,{{}})) AS STRING))"
+    short = f"regexp_replace(replace(lower(cast(cast({x} AS DOUBLE) AS STRING)), '.0e', 'e'), 'e(?=[0-9])', 'e+')"
+    part = f"CASE WHEN {x} = 0 OR abs({x}) >= 1e-3 AND abs({x}) < 1e7 THEN {short} WHEN abs({x}) >= 1e7 AND abs({x}) < 1e21 THEN {plain.format(9)} WHEN abs({x}) >= 1e-6 AND abs({x}) < 1e-3 THEN {plain.format(24)} ELSE {short} END"
+    return f"(CASE WHEN {x} % 1D = 0 AND abs({x}) < 1e21 THEN {whole} ELSE {part} END)"
 
 
 def match(columns: Sequence[str], query: str) -> Column:
