@@ -101,10 +101,11 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, taken: Column) -> Column:
-    """Identifier-like tokens, at least 4 of their 8 to 128 characters digits, that overlap nothing in taken."""
+    """Identifier-like tokens that overlap nothing in taken: of 8 to 128 characters, at least 4 of them digits, or a secret of
+    well-known form."""
     free = lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    found = F.filter(spans(text, FOUND, _TOKEN), lambda s: (_digits(s["value"]) >= 4) & free(s))
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.expr(_EMPTY))
+    found = F.filter(spans(text, FOUND, _TOKEN), lambda s: ((_digits(s["value"]) >= 4) | s["value"].rlike(_SECRET)) & free(s))
+    return F.when(text.rlike("[0-9]|AKIA"), found).otherwise(F.expr(_EMPTY))
 
 
 def patterns(text: Column, span: Column) -> Column:
