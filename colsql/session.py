@@ -241,17 +241,23 @@ class Session:
         return self._in_work(run)
 
     def update_rows(self, name: str, rows: Sequence[dict] | dict[str, Sequence]) -> Result:
-        """Replaces the columns given, of rows with the keys given."""
-        df = self._frame(name, rows)
+        """Replaces the columns given, of rows with the keys given. Rows may give different columns; it is one commit."""
         key = Work.keyed(self.state()["tables"][name], name, "UPDATE")
-        sets = [c for c in df.columns if c != key]
+        alike: dict[tuple[str, ...], list[dict]] = {}
+        for r in self._listed(rows):
+            alike.setdefault(tuple(sorted(r)), []).append(r)
 
         def run(w: Work) -> Result:
-            there = w.frame(name)
-            new = there.join(df.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_n_{c}") for c in sets)), F.col(f"`{key}`") == F.col("_k")).select(*(F.col(f"_n_{c}").alias(c) if c in sets else F.col(f"`{c}`") for c in there.columns))
-            _, old, changed = w.upsert(name, new, sets, self.check)
-            self.fire(w, name, "update", old, changed)
-            return Result(changed.count())
+            n = 0
+            for group in alike.values():
+                df = self._frame(name, group)
+                sets = [c for c in df.columns if c != key]
+                there = w.frame(name)
+                new = there.join(df.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_n_{c}") for c in sets)), F.col(f"`{key}`") == F.col("_k")).select(*(F.col(f"_n_{c}").alias(c) if c in sets else F.col(f"`{c}`") for c in there.columns))
+                _, old, changed = w.upsert(name, new, sets, self.check)
+                self.fire(w, name, "update", old, changed)
+                n += changed.count()
+            return Result(n)
 
         return self._in_work(run)
 
@@ -259,14 +265,21 @@ class Session:
         key = Work.keyed(self.state()["tables"][name], name, "DELETE")
         return self._in_work(lambda w: self._delete(w, name, F.col(f"`{key}`").isin(list(keys))))
 
+    @staticmethod
+    def _listed(rows: Sequence[dict] | dict[str, Sequence]) -> Sequence[dict]:
+        return [dict(zip(rows, values, strict=True)) for values in zip(*rows.values(), strict=True)] if isinstance(rows, dict) else rows
+
     def _frame(self, name: str, rows: Sequence[dict] | dict[str, Sequence]) -> DataFrame:
-        t = self.state()["tables"][name]
-        if isinstance(rows, dict):
-            rows = [dict(zip(rows, values, strict=True)) for values in zip(*rows.values(), strict=True)]
+        t, rows = self.state()["tables"][name], self._listed(rows)
         names = list(dict.fromkeys(k for r in rows for k in r))
         kinds = {c["name"]: c["type"] for c in t["columns"]}
         if unknown := [n for n in names if n not in kinds]:
             raise SqlError(f"{name} has no column {unknown[0]}")
+        # a row that lacks a column which others have takes its default, too
+        lacking = [c for c in t["columns"] if c["name"] in names and c["default"] not in (None, "autoincrement") and any(c["name"] not in r for r in rows)]
+        if lacking:
+            given = self.spark.range(1).select(*(self.default(c).cast(SPARK_TYPES[c["type"]]).alias(c["name"]) for c in lacking)).first().asDict()
+            rows = [given | r for r in rows]
         schema = T.StructType([T.StructField(n, SPARK_TYPES[kinds[n]]) for n in names])
         return self.spark.createDataFrame([tuple(float(v) if isinstance(v := r.get(n), int) and not isinstance(v, bool) else v for n in names) for r in rows], schema)
 

@@ -8,10 +8,11 @@ import pandas as pd
 import pytest
 
 from colsql import queries as own
+from colsql import table_queries as tables
 
 from .conftest import SF
 
-QUERIES, ORACLES = own.queries(), own.oracle_sql()
+QUERIES, ORACLES = own.queries() | tables.queries(), own.oracle_sql() | tables.oracle_sql()
 
 
 @pytest.fixture(scope="module")
