@@ -298,6 +298,25 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table([(*first, None)])
 
 
+def _with_centre(rows: DataFrame) -> DataFrame:
+    """(doc, other): each text of a (slot, root) of more than two with the earliest and with the centre, the text that is
+    nearest to what most of their whole fingerprints have at each bit."""
+    group = ["slot", "root"]
+    bits = [F.sum(F.shiftrightunsigned("whole", k).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"b{k}") for k in range(32)]  # two counters each
+    sums = rows.groupBy(*group).agg(F.count("*").alias("n"), *bits).where("n > 2")
+    most = F.lit(0).cast("long")
+    for k in range(32):
+        low, high = F.col(f"b{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"b{k}", 32)
+        for count, at in ((low, k), (high, k + 32)):
+            most = most.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(signed(1 << at))).otherwise(F.lit(0).cast("long")))
+    most = written(sums.select(*group, most.alias("most")))
+    far = F.bit_count(F.col("whole").bitwiseXOR(F.col("most")))
+    own = F.struct("doc", "whole")
+    ends = written(rows.join(most, group).groupBy(*group).agg(F.min(own).alias("low"), F.min_by(own, F.struct(far, "doc")).alias("centre")))
+    both = rows.join(ends, group).select("doc", "whole", F.explode(F.array("low", "centre")).alias("other"))
+    return both.where((F.col("doc") != F.col("other.doc")) & (F.bit_count(F.col("whole").bitwiseXOR(F.col("other.whole"))) <= NEVER)).select("doc", F.col("other.doc").alias("other"))
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [np.unique(hashes(shingles(words_of(x), size)).astype(np.uint32)).view(np.int32) for x in b.column(1).to_pylist()]
@@ -310,8 +329,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables:
     At similarity 0.8 whole-text fingerprints of 64 bits differ in 10 bits on average, too many for an index. So each
     text gets several fingerprints, each the SimHash of the shingles that come first under one hash function (a sample
     that near copies share with a probability of about similarity ** sample), and the Gray-order index links those at up
-    to limit bits. Within what is so linked, texts in Gray order of their whole fingerprints are compared with the one
-    before and with the first, by exact similarity. Equal texts are one node. Null, empty and blank texts are left out
+    to limit bits. Within what is so linked, each text is compared by exact similarity with the one before and the first in
+    Gray order of their whole fingerprints, with the earliest, and with the centre (copies of one text are often alike to it
+    and not to each other): so many comparisons as there are texts, however large the group. Equal texts are one node. Null, empty and blank texts are left out
     of the comparison, as are rows with a null doc_id: each is alone, with its own doc_id. Rows that repeat a doc_id share
     the result. Extra columns are not looked at; an empty table gives no rows.
     """
@@ -325,11 +345,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables:
     rank = F.col("whole")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    rows = slots.join(roots, "node", "left").select(F.col("slot").cast("long"), F.coalesce("root", "node").alias("root"), F.col("whole"), "doc").select("slot", "root", rank.alias("rank"), "whole", "doc")
+    rows = written(slots.join(roots, "node", "left").select(F.col("slot").cast("long"), F.coalesce("root", "node").alias("root"), rank.alias("rank"), "whole", "doc"))
     order, schema = ["slot", "root", "rank", "doc"], "slot long, root long, rank long, whole long, doc long, other long"
     once = written(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _chain, schema))
     heads = once.where("other is null").select("slot", "root", "rank", "whole", "doc").repartition("slot", "root").sortWithinPartitions(*order)
-    pairs = written(once.union(map_arrow(heads, _chain, schema)).where("other is not null").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a != b").distinct())
+    neighbours = once.union(map_arrow(heads, _chain, schema)).where("other is not null").select("doc", "other")
+    pairs = written(neighbours.union(_with_centre(rows)).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a != b").distinct())
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = written(map_arrow(base.join(asked, "doc", "left_semi"), partial(_shingle_sets, size=size), "doc long, set array<int>").dropDuplicates(["doc"]))
     left = pairs.join(sets.toDF("a", "x"), "a")
@@ -339,6 +360,6 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables:
     of = written(texts.select("key", "whole", "doc").join(near, F.col("doc") == F.col("node"), "left").select("key", "whole", F.coalesce("root", "doc").alias("component_id")))
     named = prints.join(of, ["key", "whole"]).groupBy("doc").agg(F.min("component_id").alias("component_id"))
     named = written(named)
-    drop(prints, texts, found, roots, once, pairs, sets, near, of)
+    drop(prints, texts, found, roots, rows, once, pairs, sets, near, of)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(named, ids.doc_id == named.doc, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
