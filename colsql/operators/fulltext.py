@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import LONGEST, MOST, query_terms
 
@@ -92,17 +93,27 @@ def bm25(table: DataFrame, columns: Sequence[str], query: str) -> Column:
     return F.expr(bm25_sql(cells, query, statistics(table, cells, query)))
 
 
+def searched_cells(table: DataFrame) -> list[str]:
+    """Cells that a search of all columns reads: strings, numbers and datetimes."""
+
+    def kind(t: T.DataType) -> str | None:
+        return "number" if isinstance(t, T.NumericType) else "datetime" if isinstance(t, T.TimestampType | T.TimestampNTZType | T.DateType) else "string" if isinstance(t, T.StringType) else None
+
+    return [cell_sql(f"`{f.name}`", k) for f in table.schema.fields if (k := kind(f.dataType))]
+
+
 def search(tables: dict[str, DataFrame], query: str, limit: int = 10) -> DataFrame:
-    """(source, score, row as JSON): the best rows of several tables, each ranked by its own statistics over its string columns."""
+    """(source, score, row as JSON): the best rows of several tables, each ranked by its own statistics over all its cells."""
     out = None
     for name, table in tables.items():
-        cells = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
+        cells = searched_cells(table)
         if not cells:
             continue
-        hits = table.where(match(cells, query)).select(F.lit(name).alias("source"), bm25(table, cells, query).alias("score"), F.to_json(F.struct(*table.columns)).alias("row"))
+        score = F.expr(bm25_sql(cells, query, statistics(table, cells, query)))
+        hits = table.where(F.expr(match_sql(cells, query))).select(F.lit(name).alias("source"), score.alias("score"), F.to_json(F.struct(*table.columns)).alias("row"))
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        raise ValueError("no table has a string column")
+        raise ValueError("no table has a column to search")
     return out.orderBy(F.desc("score"), "source", "row").limit(limit)
 
 

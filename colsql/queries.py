@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .session import Session
 
@@ -140,15 +141,42 @@ q("fts_match", "documents", "SELECT doc_id FROM documents WHERE lang = 'en' AND
 q("fts_match_prefix", "documents", "SELECT doc_id FROM documents WHERE OCTET_LENGTH(text) = LENGTH(text) AND MATCH(text) AGAINST 'thst* ing'", f"SELECT doc_id FROM {_DOCS} WHERE len(list_filter(d, lambda x: starts_with(x, 'thst'))) > 0 AND list_contains(d, 'ing')")
 
 
-def _bm25(n: str) -> str:
-    tokens = _TOKENS.replace("[a-z0-9]", r"[\p{L}\p{N}]")
-    tf = {"the": "len(list_filter(d, lambda x: x = 'the'))", "er": "len(list_filter(d, lambda x: starts_with(x, 'er')))"}
-    part = " + ".join(f"ln(1 + (n - df_{k} + 0.5) / (df_{k} + 0.5)) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * len(d) / (total / n)))" for k, f in tf.items())
-    stats = "SELECT CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(len(d)) AS DOUBLE) AS total, " + ", ".join(f"CAST(COUNT(*) FILTER (WHERE {f} > 0) AS DOUBLE) AS df_{k}" for k, f in tf.items()) + " FROM d"
-    return f"WITH d AS (SELECT benchmark.item_id, {tokens} AS d FROM benchmark), s AS ({stats}) SELECT item_id, ROUND({part}, 6) AS {n} FROM d, s"
+_TF = {"the": "len(list_filter(d, lambda x: x = 'the'))", "er": "len(list_filter(d, lambda x: starts_with(x, 'er')))"}
 
 
-q("fts_bm25", "benchmark", "SELECT item_id, ROUND(BM25(text) AGAINST 'the er*', 6) AS score FROM benchmark", _bm25("score"))
+def _score(d: str, columns: str) -> str:
+    """Scores of 'the er*' over a relation d(columns, d) of token lists, with its own statistics."""
+    part = " + ".join(f"ln(1 + (n - df_{k} + 0.5) / (df_{k} + 0.5)) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * len(d) / (total / n)))" for k, f in _TF.items())
+    stats = "SELECT CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(len(d)) AS DOUBLE) AS total, " + ", ".join(f"CAST(COUNT(*) FILTER (WHERE {f} > 0) AS DOUBLE) AS df_{k}" for k, f in _TF.items()) + f" FROM {d}"
+    return f"SELECT {columns}, ROUND({part}, 6) AS score FROM {d}, ({stats}) s"
+
+
+_WORDS = _TOKENS.replace("[a-z0-9]", r"[\p{L}\p{N}]")
+_SEARCHED = {"documents": "doc_id text lang source n_chars", "conversations": "conv_id turn role text"}
+
+
+def _search() -> str:
+    """The ten best rows of several tables, by all their cells."""
+    out = []
+    for t, cells in _SEARCHED.items():
+        tokens = " || ".join(_WORDS.replace("text", f"CAST({c} AS VARCHAR)") for c in cells.split())
+        every = " AND ".join(f"{f} > 0" for f in _TF.values())
+        out.append(f"(SELECT source, score FROM (WITH {t}_d AS (SELECT '{t}' AS source, {tokens} AS d FROM {t}) {_score(f'{t}_d', 'source, d')}) WHERE {every})")
+    return " UNION ALL ".join(out) + " ORDER BY score DESC, source LIMIT 10"
+
+
+q("fts_bm25", "benchmark", "SELECT item_id, ROUND(BM25(text) AGAINST 'the er*', 6) AS score FROM benchmark", f"WITH d AS (SELECT benchmark.item_id, {_WORDS} AS d FROM benchmark) {_score('d', 'item_id')}")
+
+q("fts_all_columns", "part", "SELECT p_partkey FROM part WHERE MATCH(*) AGAINST 'small 1*'",
+  "SELECT p_partkey FROM (SELECT p_partkey, " + " || ".join(_WORDS.replace("text", c) for c in ("p_name", "p_brand", "p_type", "CAST(p_partkey AS VARCHAR)", "CAST(p_size AS VARCHAR)", "CAST(p_retailprice AS VARCHAR)")) + " AS d FROM part) WHERE list_contains(d, 'small') AND len(list_filter(d, lambda x: starts_with(x, '1'))) > 0")
+q("is_json", "events", "SELECT event_id, props IS JSON OBJECT AS a, props IS JSON ARRAY AS b, event_type IS JSON AS c, event_type IS NOT JSON SCALAR AS d, NULLIF(props, props) IS JSON AS e FROM events",
+  "SELECT event_id, TRUE AS a, FALSE AS b, FALSE AS c, TRUE AS d, CAST(NULL AS BOOLEAN) AS e FROM events")
+q("order_by_subquery", "nation customer", "SELECT n_name FROM nation n ORDER BY (SELECT COUNT(*) FROM customer WHERE c_nationkey = n.n_nationkey) DESC, n_name LIMIT 7")
+q("select_list_subquery", "nation customer", "SELECT n_name, (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS poor, (SELECT MAX(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS top FROM nation")
+q("literals", "", "SELECT 0x1F AS a, 0b101 AS b, 0o17 AS c, 1_000 AS d, 'it''s' AS e, 1.5e3 AS f, DATE '2026-01-31' AS g /* nothing */ -- here",
+  "SELECT 31 AS a, 5 AS b, 15 AS c, 1000 AS d, 'it''s' AS e, CAST(1500 AS DOUBLE) AS f, TIMESTAMP '2026-01-31 00:00:00' AS g")
+q("number_text", "lineitem", "SELECT DISTINCT CAST(l_quantity * 1000000 AS TEXT) AS a, CAST(l_extendedprice AS TEXT) AS b FROM lineitem",
+  "SELECT DISTINCT CAST(CAST(l_quantity * 1000000 AS BIGINT) AS VARCHAR) AS a, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS b FROM lineitem")
 
 # analytic shapes of a retail suite
 q("page_filtered", "orders", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
@@ -167,12 +195,25 @@ def _runner(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Session(spark).load(sf_dir, "documents", "conversations").search("the er*", ["documents", "conversations"], 10)
+    found = Session(spark).load(sf_dir, *_SEARCHED).search("the er*", list(_SEARCHED), 10)
+    return found.select("source", F.round("score", 6).alias("score"))
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark).load(sf_dir, "orders")
+    return s.sql("SELECT o_orderkey, o_totalprice * $2 AS x, $3 AS name FROM orders WHERE o_orderstatus = $1 AND o_totalprice > $4 ORDER BY o_orderkey LIMIT $5", ["F", 2, "it's", 100000.5, 50])
+
+
+#: Registered queries that are functions, with DuckDB's SQL.
+MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "fts_search": (fts_search, _search()),
+    "parameters": (parameters, "SELECT o_orderkey, o_totalprice * 2 AS x, 'it''s' AS name FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000.5 ORDER BY o_orderkey LIMIT 50"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{n: _runner(t, text) for n, (t, text, _) in Q.items()}, "fts_search": fts_search}
+    return {n: _runner(t, text) for n, (t, text, _) in Q.items()} | {n: f for n, (f, _) in MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: o or text for n, (_, text, o) in Q.items()}
+    return {n: o or text for n, (_, text, o) in Q.items()} | {n: o for n, (_, o) in MORE.items()}

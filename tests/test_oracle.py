@@ -41,7 +41,3 @@ def test_same_as_duckdb(spark, duck, name):
     a, b = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
     assert rows(a) == rows(b)
-
-
-def test_queries_without_an_oracle_run(spark):
-    assert QUERIES["fts_search"](spark, SF).count() == 10
