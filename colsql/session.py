@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import functions
-from .errors import SqlError
+from .errors import ConflictError, SqlError
 from .operators import fulltext, recursion
 from .plans.ast import QUERIES, Node, mapped, walk
 from .plans.lower import Columns, Lower, Scope, Source, ident
 from .plans.parser import parse, parse_expression
-from .sources.database import Work
+from .sources.database import RETRIES, Work
 from .sources.store import SPARK_TYPES, Store
 
 CONF = {"spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
 SELF = "__self"
+A = TypeVar("A")
 
 
 def logical(t: T.DataType) -> str | None:
@@ -179,26 +181,20 @@ class Session:
                 return Result(0)
             return Result(work.commit())
         own = self.work is None
-        ddl = tree.kind not in ("insert", "update", "delete", "merge")
-        if ddl and not own:
+        if not own and tree.kind not in ("insert", "update", "delete", "merge"):
             raise SqlError("Tables can't be created, altered or dropped in a transaction")
-        work = self.work or Work(self.store)
-        if work.failed:
-            raise SqlError("The transaction failed before: roll it back")
-        self.work = work
-        try:
-            out = getattr(self, f"do_{tree.kind}")(tree, work, params)
-        except BaseException:
-            work.failed = True
-            if own:
-                work.rollback()
-            raise
-        finally:
-            if own:
-                self.work = None
-        if own:
-            work.commit()
-        return out
+        return self._in_work(lambda w: getattr(self, f"do_{tree.kind}")(tree, w, params))
+
+    def write(self, body: Callable[[Session], A]) -> A:
+        """Runs body in a transaction; if another writer changed the same tables meanwhile, again on top of that."""
+        for left in range(RETRIES, -1, -1):
+            try:
+                with self.transaction():
+                    return body(self)
+            except ConflictError:
+                if not left:
+                    raise
+        raise AssertionError
 
     # expressions over one table's rows
 
@@ -283,23 +279,32 @@ class Session:
         schema = T.StructType([T.StructField(n, SPARK_TYPES[kinds[n]]) for n in names])
         return self.spark.createDataFrame([tuple(float(v) if isinstance(v := r.get(n), int) and not isinstance(v, bool) else v for n in names) for r in rows], schema)
 
-    def _in_work(self, f) -> Result:
-        own = self.work is None
-        work = self.work or Work(self.store)
-        self.work = work
-        try:
-            out = f(work)
-        except BaseException:
-            work.failed = True
-            if own:
+    def _in_work(self, f: Callable[[Work], A]) -> A:
+        """f as part of the open transaction, or as a commit of its own: if another writer changed the same tables meanwhile, f
+        runs again on top of that."""
+        if self.work:
+            if self.work.failed:
+                raise SqlError("The transaction failed before: roll it back")
+            try:
+                return f(self.work)
+            except BaseException:
+                self.work.failed = True
+                raise
+        for left in range(RETRIES, -1, -1):
+            self.work = work = Work(self.store)
+            try:
+                out = f(work)
+                work.commit()
+                return out
+            except ConflictError:
+                if not left:
+                    raise
+            except BaseException:
                 work.rollback()
-            raise
-        finally:
-            if own:
+                raise
+            finally:
                 self.work = None
-        if own:
-            work.commit()
-        return out
+        raise AssertionError
 
     def _insert(self, w: Work, name: str, df: DataFrame) -> DataFrame:
         new = w.insert(name, w.complete(name, df, self.default), self.check)

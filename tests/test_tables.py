@@ -250,3 +250,33 @@ def test_match_nulls_and_unicode(db):
     assert rows(db, "SELECT id FROM d WHERE MATCH(b) AGAINST '本語'") == [(3.0,)]
     scores = rows(db, "SELECT id, BM25(a, b) AGAINST 'words' AS s FROM d")
     assert scores[0][1] == 0 and scores[1][1] is None and scores[2][1] > 0
+
+
+def test_statements_are_repeated_on_conflicts(spark, items):
+    """Each of two sessions sees the other's commit between its read and its own commit."""
+    other, met = Session(spark, items.store.root), []
+    update = items.do_update
+
+    def slow(tree, w, params):
+        out = update(tree, w, params)
+        if len(met) < 2:
+            met.append(other.execute("UPDATE items SET amount = amount + 1 WHERE id = 1").count)
+        return out
+
+    items.do_update = slow
+    items.execute("UPDATE items SET amount = amount * 2 WHERE id = 1")
+    assert met == [1, 1] and rows(items, "SELECT amount FROM items WHERE id = 1") == [(24.0,)]
+
+
+def test_write_is_repeated_as_a_whole(spark, items):
+    other, runs = Session(spark, items.store.root), []
+
+    def body(s):
+        s.execute("UPDATE items SET amount = amount + 1 WHERE id = 2")
+        if not runs:
+            other.execute("DELETE FROM items WHERE id = 1")
+        runs.append(1)
+        s.execute("INSERT INTO items (id, amount) SELECT 100 AS i, SUM(amount) AS a FROM items")
+
+    items.write(body)
+    assert len(runs) == 2 and rows(items, "SELECT id, amount FROM items") == [(100.0, 13.0), (2.0, 6.0), (3.0, 7.0)]
