@@ -58,10 +58,14 @@ class Session:
 
     def register(self, name: str, df: DataFrame) -> None:
         """Makes a DataFrame of the caller's session a table of this one."""
-        own = DataFrame(df._jdf, self.spark)
+        own = self._own(df)
         own.createOrReplaceTempView(name)
         self.frames[name] = own
 
+    def _own(self, df: DataFrame) -> DataFrame:
+        """The same plan as a DataFrame of this session."""
+        return DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed()), self.spark)
+
     def read_parquet(self, name: str, path: str) -> None:
         df = self.spark.read.parquet(path)
         df.createOrReplaceTempView(name)
@@ -221,7 +225,7 @@ class Session:
 
     def insert_frame(self, name: str, df: DataFrame) -> Result:
         """Batch insert of a DataFrame (of this session, or of the caller's)."""
-        return self._in_work(lambda w: Result(self._insert(w, name, DataFrame(df._jdf, self.spark)).count()))
+        return self._in_work(lambda w: Result(self._insert(w, name, self._own(df)).count()))
 
     def insert_rows(self, name: str, rows: Sequence[dict] | dict[str, Sequence]) -> Result:
         return self.insert_frame(name, self._frame(name, rows))
