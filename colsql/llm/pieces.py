@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import ahocorasick
 import numpy as np
@@ -130,12 +130,18 @@ class Model:
         return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def model_of(path: str | None, scores: str = "zipf") -> Model:
+    """A model, kept by a worker for its next task."""
+    return Model(path, scores)
+
+
 def restored(decoded: str) -> str:
     return decoded.replace(SPACE, " ")[1:]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, scores: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    model = Model(path, scores)
+    model = model_of(path, scores)
     for b in batches:
         texts = b.column(1).to_pylist()
         ids = [None if t is None else model.encode(t) for t in texts]
@@ -161,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, scores: str = "zipf", with_
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    model = Model(path)
+    model = model_of(path)
     for b in batches:
         out = [None if x is None else restored(model.decode(np.array(x, np.uint32).tobytes())) if x else "" for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
