@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import public_tokenizers
 import pyarrow as pa
@@ -100,8 +100,14 @@ def greedy(symbols: tuple[int, ...], pieces: set[tuple[int, ...]]) -> int | None
     return n
 
 
+@lru_cache(maxsize=1)
+def automaton_of(path: str | None) -> tuple[Automaton, dict[bytes, int]]:
+    """An automaton and the counts of words seen, kept by a worker for its next task."""
+    return Automaton(vocabulary(path)), {}
+
+
 def _counted(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    automaton, known = Automaton(vocabulary(path)), {}
+    automaton, known = automaton_of(path)
     for b in batches:
         words, total, unknown, most = [], [], [], []
         for text in b.column(1).to_pylist():
