@@ -60,10 +60,12 @@ def test_odd_texts(spark, tokenizer):
     check(packing.pack(frame(spark, *texts)).collect(), {i: ids_of(tokenizer, t) for i, t in enumerate(texts)})
 
 
-def test_chunks_encode_as_the_whole(tokenizer):
+def test_ids_are_those_of_tokenizers(tokenizer):
     r, e = random.Random(0), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     bits = ["a", "the", " ", "  ", "\n", "\t", "1", "'s", "é", "ß", " ", " ", "!", "<|endoftext|>", "🙂", "\x1f", "\u0085"]
-    texts = ["".join(r.choices(bits, k=r.randrange(0, 14))) for _ in range(3000)]
+    texts = ["".join(r.choices(bits, k=r.randrange(0, 14))) for _ in range(3000)] + ["a" * 5000, " " * 5000, "é1" * 3000]
+    texts += [f"a{c}b {c}1 {c}{c} {c}\n" for c in map(chr, range(1, 0xD800, 7))]
+    assert e.fast is not None
     assert [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -105,3 +107,10 @@ def test_packer_keeps_order_across_blocks():
 def test_ids_come_along(spark, tokenizer):
     rows = packing.pack(frame(spark, "some words here", "and more"), with_ids=True).orderBy("doc_id").collect()
     assert [list(r.ids) for r in rows] == [ids_of(tokenizer, "some words here"), ids_of(tokenizer, "and more")] or sum(len(r.ids) for r in rows) == 7
+
+
+def test_files_of_other_kinds_are_left_to_tokenizers():
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some words, HERE", "", "été <|endoftext|> x"]
+    assert e.fast is None and [np.frombuffer(x, np.uint32).tolist() for x in e(texts)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
