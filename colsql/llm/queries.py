@@ -32,9 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.edited_and_next(documents(spark, sf_dir))
+    own = spotsigs.members(F.col("fingerprint"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        spotsigs.likeness(own, spotsigs.members(F.col("edited_fingerprint"))).alias("near_edited"), spotsigs.likeness(own, spotsigs.members(F.col("next_fingerprint"))).alias("near_next"),
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import SPACE, written
 
@@ -53,6 +54,11 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(sigs, "")
 
 
+def members(print_: Column) -> Column:
+    """The signatures of a fingerprint."""
+    return F.regexp_extract_all(print_, F.lit(".{8}"), F.lit(0))
+
+
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     """Jaccard similarity of two signature sets. Sets whose sizes alone keep it below least aren't compared: 0."""
     n, m = F.size(a), F.size(b)
@@ -80,12 +86,13 @@ def buckets(docs: DataFrame, key: str, rows: int) -> tuple[Column, int]:
             b, held = b + 1, 0
         held += k
         of.append(b)
-    return F.element_at(F.lit(of), cell + 1), b + 1
+    return F.element_at(F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>"), cell + 1), b + 1
 
 
-def with_next(docs: DataFrame, key: str, values: list[str], rows: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, values: list[str], rows: int = 4000, **derived: Callable[[Column], Column]) -> DataFrame:
     """docs with a struct `next` of the values of the row's successor by key (after the last: the first); rows with equal
-    keys follow one another by values. A null key comes first.
+    keys follow one another by values. A null key comes first. derived: more columns of a row and of `next`, each made once a
+    row from the struct of values.
 
     Rows move once, to a bucket of neighbouring keys; only the first row of each bucket moves again, to the bucket before.
     """
@@ -94,25 +101,29 @@ def with_next(docs: DataFrame, key: str, values: list[str], rows: int = 4000) ->
     keyed = keyed.withColumn("_b", bucket)
     low = F.broadcast(keyed.groupBy("_b").agg(F.min("_k").alias("_k")))  # at most BUCKETS rows
     first = keyed.join(low, ["_b", "_k"], "left_semi").groupBy("_b").agg(F.min(F.struct(*values)).alias("_own"))
-    heads = first.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields), F.lit(None).cast("long").alias("_k"), F.pmod(F.col("_b") - 1, F.lit(n)).alias("_b"), "_own", F.lit(True).alias("_last"))
-    own = keyed.select(*docs.columns, "_k", "_b", F.struct(*values).alias("_own"), F.lit(False).alias("_last"))
-    w = Window.partitionBy("_b").orderBy("_last", "_k", *values)
-    return own.unionByName(heads).withColumn("next", F.lead("_own").over(w)).where(~F.col("_last")).drop("_k", "_b", "_own", "_last")
+    others = [f for f in docs.schema.fields if f.name not in values]
+    heads = first.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in others), F.lit(None).cast("long").alias("_k"), F.pmod(F.col("_b") - 1, F.lit(n)).alias("_b"), "_own", F.lit(True).alias("_last"))
+    both = keyed.select(*(f.name for f in others), "_k", "_b", F.struct(*values).alias("_own"), F.lit(False).alias("_last")).unionByName(heads)
+    if derived:
+        both = both.withColumn("_own", F.struct("_own.*", *(f(F.col("_own")).alias(c) for c, f in derived.items())))
+    w = Window.partitionBy("_b").orderBy("_last", "_k", *(f"_own.{v}" for v in values))
+    own = [F.col("_own")[c].alias(c) if c in values else F.col(c) for c in docs.columns]
+    return both.withColumn("next", F.lead("_own").over(w)).where(~F.col("_last")).select(*own, *(F.col("_own")[c].alias(c) for c in derived), "next")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
-    """For every row (doc_id, n_chars, edited, sigs, edited_sigs, next_sigs): the text's signatures, those of the text whose
-    second half is replaced by as much of the next document's beginning, and those of the next document.
+    """For every row (doc_id, n_chars, edited, fingerprint, edited_fingerprint, next_fingerprint): fingerprints of the text, of
+    the text whose second half is replaced by as much of the next document's beginning, and of the next document.
 
     Null texts count as empty. A table of one row follows itself. Rows with a null doc_id come first. Extra columns are not
     looked at; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(base.withColumn("sigs", signatures(F.col("text"))), "doc_id", ["text", "sigs"])
+    pairs = with_next(base, "doc_id", ["text"], fingerprint=lambda own: fingerprint(signatures(own["text"])))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substr(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next")["text"], F.lit(1), half))
-    out = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sigs", F.col("next")["sigs"].alias("next_sigs"))
-    return out.withColumn("edited_sigs", signatures(F.col("edited")))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next")["text"], F.lit(1), half))
+    out = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next")["fingerprint"].alias("next_fingerprint"))
+    return out.withColumn("edited_fingerprint", fingerprint(signatures(F.col("edited"))))
 
 
 def matches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
