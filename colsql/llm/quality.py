@@ -139,9 +139,10 @@ def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
 
 
 def fit(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order in which to run them. The sample decides on the order only, never on a verdict."""
-    rows = docs.select(F.col("text").cast("binary").alias("text")).limit(sample_rows).toArrow()
-    return ordered(estimate(rows.column("text").to_pylist(), rules))
+    """The rules in the order in which to run them. The sample, rows of the first partitions, decides on the order only, never on
+    a verdict."""
+    rows = docs.select(F.col("text").cast("binary").alias("text")).limit(sample_rows).collect()  # reads no more partitions than it needs
+    return ordered(estimate([None if r.text is None else bytes(r.text) for r in rows], rules))
 
 
 def passes(text: Text, cascade: Sequence[Rule]) -> bool:
