@@ -323,6 +323,143 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc", "set"])
 
 
+# what the samples leave: an exact join on the rarest shingles
+
+
+#: Counters of shingles, dealt to CHUNKS rows: a fixed size. They only order the shingles; any order gives the same pairs.
+CELLS, CHUNKS = 1 << 20, 256
+
+
+def _counted_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for b in batches:
+        h = [np.unique(hashes(shingles(words_of(x), size))) for x in b.column(1).to_pylist()]
+        if h:
+            counts += np.bincount((np.concatenate(h) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    if counts.any():
+        rows = [x.tobytes() for x in np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(CHUNKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
+
+
+def _summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+    rows = [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
+
+
+def frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """About how many texts(doc, text) hold a shingle, by its hash modulo CELLS."""
+    out, schema = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint32), "chunk int, counts binary"
+    for r in map_arrow(map_arrow(texts, partial(_counted_cells, size=size), schema).repartition("chunk"), _summed_cells, schema).collect():
+        out[r.chunk] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
+
+
+def _least(x: np.ndarray | int | float) -> np.ndarray:
+    """The least whole number that isn't below x, whatever rounding has added to x."""
+    return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], size: int, similarity: float, cells) -> Iterator[pa.RecordBatch]:
+    """(token, n, at, doc): of a text's n shingles, rarest first, those up to the place where the first shared one must be."""
+    order = cells.value
+    for b in batches:
+        out = [np.empty((0, 4), np.int64)]
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = np.unique(hashes(shingles(words_of(text), size)))
+            first = np.lexsort((h, order[(h % np.uint64(CELLS)).astype(np.int64)]))[: len(h) - int(_least(similarity * len(h))) + 1]
+            out.append(np.stack([h[first].view(np.int64), np.full(len(first), len(h)), np.arange(len(first)), np.full(len(first), doc)], axis=1))
+        x = np.concatenate(out)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3])], ["token", "n", "at", "doc"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token: those whose token another row has too."""
+    last, token, met = None, None, False  # the last row, not yet given; its token; whether the row before has it too
+    for b in batches:
+        if not len(b):
+            continue
+        t = b.column(0).to_numpy(zero_copy_only=False)
+        same = t[1:] == t[:-1]
+        before, after = np.concatenate([[t[0] == token], same]), np.concatenate([same, [False]])
+        if last is not None and (met or before[0]):
+            yield last
+        keep = before | after
+        keep[-1] = False
+        yield b.filter(pa.array(keep))
+        last, token, met = b.slice(len(b) - 1), t[-1], bool(before[-1])
+    if last is not None and met:
+        yield last
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n, at, doc, root) sorted by token: pairs of texts of one token and different roots that can be alike by
+    their sizes and the token's places. Only texts outside of a token's largest root are compared with the others."""
+    share = similarity / (1 + similarity)
+
+    def close(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, at, doc, root = x[:, 1:].T
+        _, group, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        if len(sizes) < 2:
+            return
+        largest = group == sizes.argmax()
+        few = np.flatnonzero(~largest)
+        step = max(1, 2_000_000 // len(x))
+        for k in range(0, len(few), step):
+            i = few[k : k + step]
+            need = _least(share * (n[i][:, None] + n[None, :]))
+            fits = (at[i] + need.T <= n[i]).T & (at + need <= n) & (group[i][:, None] != group) & (largest | (doc[i][:, None] < doc))
+            q, c = np.nonzero(fits)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i[q]], doc[c])), pa.array(np.maximum(doc[i[q]], doc[c]))], ["a", "b"])
+
+    held: list[np.ndarray] = []  # rows of the last token
+    for b in batches:
+        if not len(b):
+            continue
+        x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
+        cut = [0, *(np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1).tolist(), len(x)]
+        for k in range(len(cut) - 1):
+            part = x[cut[k] : cut[k + 1]]
+            if held and held[0][0, 0] != part[0, 0]:
+                yield from close(np.concatenate(held))
+                held = []
+            held.append(part)
+    if held:
+        yield from close(np.concatenate(held))
+
+
+def _left_over(full: DataFrame, labels: DataFrame, size: int, similarity: float) -> Written:
+    """(a, b): every pair of texts of labels(doc, root) of different roots that can be alike, full(doc, text) being their texts.
+
+    With shingles in one order everywhere, two sets that share s of theirs have a shingle in common among the first n - s + 1
+    of each, n its size; at a similarity of j, s is j / (1 + j) of both sizes at least. Rare shingles come first, so what a
+    family has in common is hardly ever asked for. All rows of a token meet in one task, a text once, and each has many tokens.
+    """
+    cells = full.sparkSession.sparkContext.broadcast(frequencies(full, size))
+    schema = "token long, n int, at int, doc long"
+    posted = map_arrow(full, partial(_postings, size=size, similarity=similarity, cells=cells), schema)
+    shared = written(map_arrow(posted.repartition("token").sortWithinPartitions("token"), _shared, schema))
+    labelled = shared.join(labels, "doc").select("token", "n", "at", "doc", "root").repartition("token").sortWithinPartitions("token")
+    out = written(map_arrow(labelled, partial(_across, similarity=similarity), "a long, b long").distinct())
+    drop(shared)
+    return out
+
+
+def _alike(pairs: DataFrame, base: DataFrame, size: int, similarity: float) -> Written:
+    """(u, v): the pairs(a, b) whose sets of shingles are as alike."""
+    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    sets = written(map_arrow(base.join(asked, "doc", "left_semi"), partial(_shingle_sets, size=size), "doc long, set array<int>").dropDuplicates(["doc"]))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    out = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    drop(sets)
+    return out
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 3, limit: int = MAX_BITS) -> DataFrame:
     """(doc_id, component_id): near copies, by Jaccard similarity of the sets of size-word shingles, share the smallest doc_id.
 
@@ -331,7 +468,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables:
     that near copies share with a probability of about similarity ** sample), and the Gray-order index links those at up
     to limit bits. Within what is so linked, each text is compared by exact similarity with the one before and the first in
     Gray order of their whole fingerprints, with the earliest, and with the centre (copies of one text are often alike to it
-    and not to each other): so many comparisons as there are texts, however large the group. Equal texts are one node. Null, empty and blank texts are left out
+    and not to each other): so many comparisons as there are texts, however large the group. Texts that this leaves in different
+    components are joined on their rarest shingles and compared exactly, so that no pair is missed. Equal texts are one node. Null, empty and blank texts are left out
     of the comparison, as are rows with a null doc_id: each is alone, with its own doc_id. Rows that repeat a doc_id share
     the result. Extra columns are not looked at; an empty table gives no rows.
     """
@@ -351,15 +489,18 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables:
     heads = once.where("other is null").select("slot", "root", "rank", "whole", "doc").repartition("slot", "root").sortWithinPartitions(*order)
     neighbours = once.union(map_arrow(heads, _chain, schema)).where("other is not null").select("doc", "other")
     pairs = written(neighbours.union(_with_centre(rows)).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a != b").distinct())
-    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = written(map_arrow(base.join(asked, "doc", "left_semi"), partial(_shingle_sets, size=size), "doc long, set array<int>").dropDuplicates(["doc"]))
-    left = pairs.join(sets.toDF("a", "x"), "a")
-    both = left.join(sets.toDF("b", "y"), "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
-    shared = F.size(F.array_intersect("x", "y"))
-    near = components(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = _alike(pairs, base, size, similarity)
+    near = components(edges)
+    labels = written(texts.select("doc").distinct().join(near, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")))
+    rest = _left_over(full, labels, size, similarity)
+    more = _alike(rest, base, size, similarity)
+    if not more.isEmpty():
+        linked = near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
+        first, near = near, components(linked)
+        drop(first)
     of = written(texts.select("key", "whole", "doc").join(near, F.col("doc") == F.col("node"), "left").select("key", "whole", F.coalesce("root", "doc").alias("component_id")))
     named = prints.join(of, ["key", "whole"]).groupBy("doc").agg(F.min("component_id").alias("component_id"))
     named = written(named)
-    drop(prints, texts, found, roots, rows, once, pairs, sets, near, of)
+    drop(prints, texts, found, roots, rows, once, pairs, edges, labels, rest, more, near, of)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(named, ids.doc_id == named.doc, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

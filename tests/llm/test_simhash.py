@@ -109,3 +109,32 @@ def test_near_copies_of_planted_groups(spark):
     texts += [passage + " " + " ".join(r.choices(vocabulary, k=120)) for _ in range(20)]  # share a passage only
     got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, *texts)).collect()}
     assert got == plain_components({i: sets_of(t) for i, t in enumerate(texts)}, alike)
+
+
+def test_near_copies_inside_a_family(spark):
+    """All texts share 70 to 87 % of their words, so that most samples fall into the shared part; few pairs of them are near copies."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    common, texts = r.choices(vocabulary, k=300), []
+    for _ in range(300):
+        own = r.choices(vocabulary, k=r.randrange(45, 130))
+        for _ in range(r.choice([1, 1, 1, 2, 3])):
+            w = common + own
+            for k in r.sample(range(len(w)), r.randrange(0, 9)):
+                w[k] = "other" + str(r.randrange(10**6))
+            texts.append(" ".join(w))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, *texts)).collect()}
+    assert got == plain_components({i: sets_of(t) for i, t in enumerate(texts)}, alike)
+
+
+def test_the_left_over_pairs_are_all_that_can_be_alike(spark):
+    """Without the samples: each text its own root."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(400)}" for _ in range(r.randrange(1, 60))]
+        texts += [" ".join(words), " ".join(words + ["more"] * r.randrange(0, 9)), " ".join(words[r.randrange(0, 4) :])]
+    sets = {i: sets_of(t) for i, t in enumerate(texts) if t}
+    rows = frame(spark, *texts).where("text != ''").selectExpr("doc_id AS doc", "CAST(text AS BINARY) AS text")
+    found = {(x.a, x.b) for x in simhash._left_over(rows, rows.selectExpr("doc", "doc AS root"), 5, 0.8).collect()}
+    assert {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])} <= found
