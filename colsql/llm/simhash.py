@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, components, drop, map_arrow, written
@@ -148,23 +148,22 @@ def finer(mask: int, limit: int = MAX_BITS) -> tuple[int, ...]:
 
 
 def _refine(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Each (slot, mask, fp, node) under each finer mask."""
+    """Each (slot, mask, fp) under each finer mask."""
     for b in batches:
-        slot, mask, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        u = fp.astype(np.int64).view(np.uint64)
+        slot, mask, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         for m in np.unique(mask):
             at = mask == m
             for x in finer(int(m) & (1 << 64) - 1, limit):
-                columns = slot[at], np.full(at.sum(), signed(x)), (u[at] & np.uint64(x)).view(np.int64), fp[at], node[at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["slot", "mask", "bits", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot[at], np.full(at.sum(), signed(x)), fp[at])], ["slot", "mask", "fp"])
 
 
 OUT = ["kind", "slot", "mask", "a", "b"]
 
 
 def _search(batches: Iterator[pa.RecordBatch], limit: int, last: bool, group: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (slot, mask, bits). A pattern of up to group codes is searched with an index: kind 0, a link of nodes a and b.
-    Those of a larger one go on, unless last: kind 1, code a and node b. No more than a batch and a group are held."""
+    """Rows (slot, mask, fp) sorted by slot, mask and pattern, the bits of fp that mask fixes. A pattern of up to group codes is
+    searched with an index: kind 0, a link of codes a and b. Those of a larger one go on, unless last: kind 1, code a.
+    No more than a batch and a group are held."""
     held: list[np.ndarray] = []  # rows of the pattern at the end of the last batch
     over = None
 
@@ -175,10 +174,11 @@ def _search(batches: Iterator[pa.RecordBatch], limit: int, last: bool, group: in
         if len(x) < 2:
             return None
         i = np.array(forest(x[:, 3].copy().view(np.uint64), limit), np.int64).reshape(-1, 2)
-        return give(0, x, x[i[:, 0], 4], x[i[:, 1], 4]) if len(i) else None
+        return give(0, x, x[i[:, 0], 3], x[i[:, 1], 3]) if len(i) else None
 
     for b in batches:
-        x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+        slot, mask, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x = np.stack([slot, mask, fp & mask, fp], axis=1)
         if not len(x):
             continue
         x = np.concatenate([*held, x]) if held else x
@@ -189,7 +189,7 @@ def _search(batches: Iterator[pa.RecordBatch], limit: int, last: bool, group: in
             ended = k < len(starts) - 1
             if key == over or (len(y) > group and not last):
                 over = key
-                yield give(1, y, y[:, 3], y[:, 4])
+                yield give(1, y, y[:, 3], y[:, 3])
             elif ended and (found := close(y)):
                 yield found
         tail = x[starts[-1] :]
@@ -198,26 +198,32 @@ def _search(batches: Iterator[pa.RecordBatch], limit: int, last: bool, group: in
         yield found
 
 
-def links(nodes: DataFrame, limit: int = MAX_BITS, group: int = GROUP) -> Written:
-    """(a, b): links of nodes(slot, fp, node), distinct codes of each slot with a node's number, enough of them that
-    whatever is connected by codes of one slot at no more than limit bits is connected by links.
+def node_of(slot: Column, fp: Column) -> Column:
+    """A number for a code of a slot; the code itself in slot 0 alone would do, but not in several."""
+    return F.xxhash64(slot.cast("long"), fp)
+
+
+def links(codes: DataFrame, limit: int = MAX_BITS, group: int = GROUP, node: Callable[[Column, Column], Column] = node_of) -> Written:
+    """(a, b): links of codes(slot, fp), distinct, by their nodes' numbers, enough of them that whatever is connected by codes
+    of one slot at no more than limit bits is connected by links.
 
     Codes are dealt to tasks by masked patterns that any two such codes share at least once; a pattern with over group
     codes is dealt out again under finer masks, until few bits are left, so that no group of any size meets in one task.
     """
-    rows, found = nodes.select(F.col("slot").cast("long"), F.lit(0).cast("long").alias("mask"), "fp", "node"), []
+    rows, found = codes.select(F.col("slot").cast("long"), F.lit(0).cast("long").alias("mask"), "fp"), []
+    by = ("slot", "mask", F.col("fp").bitwiseAND(F.col("mask")))
     for level in range(3):
-        dealt = map_arrow(rows, partial(_refine, limit=limit), "slot long, mask long, bits long, fp long, node long")
-        dealt = dealt.repartition("slot", "mask", "bits").sortWithinPartitions("slot", "mask", "bits")
+        dealt = map_arrow(rows, partial(_refine, limit=limit), "slot long, mask long, fp long")
+        dealt = dealt.repartition(*by).sortWithinPartitions(*by)
         out = written(map_arrow(dealt, partial(_search, limit=limit, last=level == 2, group=group), "kind byte, slot long, mask long, a long, b long"))
         found.append(out)
-        rows = out.where("kind = 1").select("slot", "mask", F.col("a").alias("fp"), F.col("b").alias("node"))
+        rows = out.where("kind = 1").select("slot", "mask", F.col("a").alias("fp"))
         if rows.isEmpty():
             break
     both = found[0]
     for x in found[1:]:
         both = both.union(x)
-    out = written(both.where("kind = 0").select("a", "b").distinct())
+    out = written(both.where("kind = 0").select(node(F.col("slot"), F.col("a")).alias("a"), node(F.col("slot"), F.col("b")).alias("b")).distinct())
     drop(*found)
     return out
 
@@ -227,280 +233,22 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = MAX_BITS) -> Da
     reach from it, and how many rows share its fingerprint besides itself.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal fingerprints are one node of
-    the graph. A row with a null doc_id takes part; component_id is null if no row that it reaches has one. Extra columns
-    of docs are not looked at; an empty table gives no rows.
+    the graph; a doc_id that repeats with other texts is in as many components as these are. A row with a null doc_id takes
+    part; component_id is null if no row that it reaches has one. doc_id may be any long. Extra columns of docs are not looked
+    at; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, size))
-    codes = written(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
-        .select("fp", "n", F.coalesce("doc", F.lit(1 << 62) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))).alias("node"))
-    )
-    pairs = links(codes.select(F.lit(0).alias("slot"), "fp", "node"), limit)
-    roots = components(pairs.toDF("u", "v"))
-    drop(pairs)
-    root = F.coalesce("root", "node")
-    labels = written(codes.join(roots, "node", "left").select("fp", F.when(root < 1 << 62, root).alias("component_id"), (F.col("n") - 1).alias("links")))
-    drop(codes, roots)
+    codes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")))
+    found = links(codes.select(F.lit(0).alias("slot"), "fp"), limit, node=lambda slot, fp: fp)
+    roots = components(found.toDF("u", "v"))
+    drop(found)
+    rooted = written(codes.join(roots.toDF("fp", "root"), "fp", "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")))
+    least = written(rooted.groupBy("root").agg(F.min("doc").alias("component_id")))
+    labels = written(rooted.join(least, "root").select("fp", "component_id", (F.col("n") - 1).alias("links")))
+    drop(codes, roots, rooted, least)
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "links")
 
 
 def hex16(fp: str = "fp"):
     """Sixteen lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-# near copies by shingle sets: fingerprints of consistent samples of the shingles, then an exact check
-
-
-#: Whole fingerprints of texts at similarity 0.8 differ in 9.7 bits on average, by a standard deviation of 2.9.
-NEVER = 26
-
-
-def _sampled(batches: Iterator[pa.RecordBatch], size: int, tables: int, sample: int) -> Iterator[pa.RecordBatch]:
-    mixers = np.random.default_rng(SEED).integers(1, 1 << 62, tables, dtype=np.uint64) * np.uint64(2) + ONE
-    for b in batches:
-        key, whole, fps = [], [], []
-        for text in b.column(1).to_pylist():
-            h = np.unique(hashes(shingles(words_of(text), size)))
-            key.append(signed(xxhash.xxh64_intdigest(text or b"", SEED)))
-            whole.append(signed(simhash(h)))
-            orders = [(x := h * m) ^ x >> np.uint64(29) for m in mixers]
-            fps.append([signed(simhash(h[np.argpartition(x, sample - 1)[:sample]] if len(h) > sample else h)) for x in orders])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc", "key", "whole", "fps"])
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, root, rank, whole, doc) sorted: pairs of each text with the one before and with the first of its
-    (slot, root). The first texts of a task's first and last group come out too, as pairs with null, for groups that
-    several tasks share."""
-    names = ["slot", "root", "rank", "whole", "doc", "other"]
-    key = first = prev = None
-    heads = 0
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names)
-
-    for b in batches:
-        out = []
-        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if row[:2] == key:
-                for with_ in {prev[4]: prev, first[4]: first}.values():
-                    if ((row[3] ^ with_[3]) & (1 << 64) - 1).bit_count() <= NEVER:
-                        out.append((*row, with_[4]))
-            else:
-                key, first = row[:2], row
-                if not heads:
-                    out.append((*row, None))
-                heads += 1
-            prev = row
-        yield table(out)
-    if heads > 1:
-        yield table([(*first, None)])
-
-
-def _with_centre(rows: DataFrame) -> DataFrame:
-    """(doc, other): each text of a (slot, root) of more than two with the earliest and with the centre, the text that is
-    nearest to what most of their whole fingerprints have at each bit."""
-    group = ["slot", "root"]
-    bits = [F.sum(F.shiftrightunsigned("whole", k).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"b{k}") for k in range(32)]  # two counters each
-    sums = rows.groupBy(*group).agg(F.count("*").alias("n"), *bits).where("n > 2")
-    most = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"b{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"b{k}", 32)
-        for count, at in ((low, k), (high, k + 32)):
-            most = most.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(signed(1 << at))).otherwise(F.lit(0).cast("long")))
-    most = written(sums.select(*group, most.alias("most")))
-    far = F.bit_count(F.col("whole").bitwiseXOR(F.col("most")))
-    own = F.struct("doc", "whole")
-    ends = written(rows.join(most, group).groupBy(*group).agg(F.min(own).alias("low"), F.min_by(own, F.struct(far, "doc")).alias("centre")))
-    both = rows.join(ends, group).select("doc", "whole", F.explode(F.array("low", "centre")).alias("other"))
-    return both.where((F.col("doc") != F.col("other.doc")) & (F.bit_count(F.col("whole").bitwiseXOR(F.col("other.whole"))) <= NEVER)).select("doc", F.col("other.doc").alias("other"))
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [np.unique(hashes(shingles(words_of(x), size)).astype(np.uint32)).view(np.int32) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc", "set"])
-
-
-# what the samples leave: an exact join on the rarest shingles
-
-
-#: Counters of shingles, dealt to CHUNKS rows: a fixed size. They only order the shingles; any order gives the same pairs.
-CELLS, CHUNKS = 1 << 20, 256
-
-
-def _counted_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
-    for b in batches:
-        h = [np.unique(hashes(shingles(words_of(x), size))) for x in b.column(1).to_pylist()]
-        if h:
-            counts += np.bincount((np.concatenate(h) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    if counts.any():
-        rows = [x.tobytes() for x in np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(CHUNKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
-
-
-def _summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
-    rows = [np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
-
-
-def frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """About how many texts(doc, text) hold a shingle, by its hash modulo CELLS."""
-    out, schema = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint32), "chunk int, counts binary"
-    for r in map_arrow(map_arrow(texts, partial(_counted_cells, size=size), schema).repartition("chunk"), _summed_cells, schema).collect():
-        out[r.chunk] = np.frombuffer(r.counts, np.uint32)
-    return out.ravel()
-
-
-def _least(x: np.ndarray | int | float) -> np.ndarray:
-    """The least whole number that isn't below x, whatever rounding has added to x."""
-    return np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
-
-
-def _postings(batches: Iterator[pa.RecordBatch], size: int, similarity: float, cells) -> Iterator[pa.RecordBatch]:
-    """(token, n, at, doc): of a text's n shingles, rarest first, those up to the place where the first shared one must be."""
-    order = cells.value
-    for b in batches:
-        out = [np.empty((0, 4), np.int64)]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = np.unique(hashes(shingles(words_of(text), size)))
-            first = np.lexsort((h, order[(h % np.uint64(CELLS)).astype(np.int64)]))[: len(h) - int(_least(similarity * len(h))) + 1]
-            out.append(np.stack([h[first].view(np.int64), np.full(len(first), len(h)), np.arange(len(first)), np.full(len(first), doc)], axis=1))
-        x = np.concatenate(out)
-        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3])], ["token", "n", "at", "doc"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token: those whose token another row has too."""
-    last, token, met = None, None, False  # the last row, not yet given; its token; whether the row before has it too
-    for b in batches:
-        if not len(b):
-            continue
-        t = b.column(0).to_numpy(zero_copy_only=False)
-        same = t[1:] == t[:-1]
-        before, after = np.concatenate([[t[0] == token], same]), np.concatenate([same, [False]])
-        if last is not None and (met or before[0]):
-            yield last
-        keep = before | after
-        keep[-1] = False
-        yield b.filter(pa.array(keep))
-        last, token, met = b.slice(len(b) - 1), t[-1], bool(before[-1])
-    if last is not None and met:
-        yield last
-
-
-def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, at, doc, root) sorted by token: pairs of texts of one token and different roots that can be alike by
-    their sizes and the token's places. Only texts outside of a token's largest root are compared with the others."""
-    share = similarity / (1 + similarity)
-
-    def close(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, at, doc, root = x[:, 1:].T
-        _, group, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        if len(sizes) < 2:
-            return
-        largest = group == sizes.argmax()
-        few = np.flatnonzero(~largest)
-        step = max(1, 2_000_000 // len(x))
-        for k in range(0, len(few), step):
-            i = few[k : k + step]
-            need = _least(share * (n[i][:, None] + n[None, :]))
-            fits = (at[i] + need.T <= n[i]).T & (at + need <= n) & (group[i][:, None] != group) & (largest | (doc[i][:, None] < doc))
-            q, c = np.nonzero(fits)
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i[q]], doc[c])), pa.array(np.maximum(doc[i[q]], doc[c]))], ["a", "b"])
-
-    held: list[np.ndarray] = []  # rows of the last token
-    for b in batches:
-        if not len(b):
-            continue
-        x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
-        cut = [0, *(np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1).tolist(), len(x)]
-        for k in range(len(cut) - 1):
-            part = x[cut[k] : cut[k + 1]]
-            if held and held[0][0, 0] != part[0, 0]:
-                yield from close(np.concatenate(held))
-                held = []
-            held.append(part)
-    if held:
-        yield from close(np.concatenate(held))
-
-
-def _left_over(full: DataFrame, labels: DataFrame, size: int, similarity: float) -> Written:
-    """(a, b): every pair of texts of labels(doc, root) of different roots that can be alike, full(doc, text) being their texts.
-
-    With shingles in one order everywhere, two sets that share s of theirs have a shingle in common among the first n - s + 1
-    of each, n its size; at a similarity of j, s is j / (1 + j) of both sizes at least. Rare shingles come first, so what a
-    family has in common is hardly ever asked for. All rows of a token meet in one task, a text once, and each has many tokens.
-    """
-    cells = full.sparkSession.sparkContext.broadcast(frequencies(full, size))
-    schema = "token long, n int, at int, doc long"
-    posted = map_arrow(full, partial(_postings, size=size, similarity=similarity, cells=cells), schema)
-    shared = written(map_arrow(posted.repartition("token").sortWithinPartitions("token"), _shared, schema))
-    labelled = shared.join(labels, "doc").select("token", "n", "at", "doc", "root").repartition("token").sortWithinPartitions("token")
-    out = written(map_arrow(labelled, partial(_across, similarity=similarity), "a long, b long").distinct())
-    drop(shared)
-    return out
-
-
-def _alike(pairs: DataFrame, base: DataFrame, size: int, similarity: float) -> Written:
-    """(u, v): the pairs(a, b) whose sets of shingles are as alike."""
-    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = written(map_arrow(base.join(asked, "doc", "left_semi"), partial(_shingle_sets, size=size), "doc long, set array<int>").dropDuplicates(["doc"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
-    shared = F.size(F.array_intersect("x", "y"))
-    out = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    drop(sets)
-    return out
-
-
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 10, sample: int = 3, limit: int = MAX_BITS) -> DataFrame:
-    """(doc_id, component_id): near copies, by Jaccard similarity of the sets of size-word shingles, share the smallest doc_id.
-
-    At similarity 0.8 whole-text fingerprints of 64 bits differ in 10 bits on average, too many for an index. So each
-    text gets several fingerprints, each the SimHash of the shingles that come first under one hash function (a sample
-    that near copies share with a probability of about similarity ** sample), and the Gray-order index links those at up
-    to limit bits. Within what is so linked, each text is compared by exact similarity with the one before and the first in
-    Gray order of their whole fingerprints, with the earliest, and with the centre (copies of one text are often alike to it
-    and not to each other): so many comparisons as there are texts, however large the group. Texts that this leaves in different
-    components are joined on their rarest shingles and compared exactly, so that no pair is missed. Equal texts are one node. Null, empty and blank texts are left out
-    of the comparison, as are rows with a null doc_id: each is alone, with its own doc_id. Rows that repeat a doc_id share
-    the result. Extra columns are not looked at; an empty table gives no rows.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
-    full = base.where(F.col("doc").isNotNull() & (F.length(F.regexp_replace(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+", "")) > 0))
-    prints = written(map_arrow(full, partial(_sampled, size=size, tables=tables, sample=sample), "doc long, key long, whole long, fps array<long>"))
-    texts = written(prints.groupBy("key", "whole").agg(F.min("doc").alias("doc"), F.min_by("fps", "doc").alias("fps")))
-    slots = texts.select("doc", "whole", F.posexplode("fps").alias("slot", "fp")).withColumn("node", F.xxhash64("slot", "fp"))
-    found = links(slots.select("slot", "fp", "node").distinct(), limit)
-    roots = components(found.toDF("u", "v"))
-    rank = F.col("whole")
-    for k in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    rows = written(slots.join(roots, "node", "left").select(F.col("slot").cast("long"), F.coalesce("root", "node").alias("root"), rank.alias("rank"), "whole", "doc"))
-    order, schema = ["slot", "root", "rank", "doc"], "slot long, root long, rank long, whole long, doc long, other long"
-    once = written(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _chain, schema))
-    heads = once.where("other is null").select("slot", "root", "rank", "whole", "doc").repartition("slot", "root").sortWithinPartitions(*order)
-    neighbours = once.union(map_arrow(heads, _chain, schema)).where("other is not null").select("doc", "other")
-    pairs = written(neighbours.union(_with_centre(rows)).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a != b").distinct())
-    edges = _alike(pairs, base, size, similarity)
-    near = components(edges)
-    labels = written(texts.select("doc").distinct().join(near, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")))
-    rest = _left_over(full, labels, size, similarity)
-    more = _alike(rest, base, size, similarity)
-    if not more.isEmpty():
-        linked = near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
-        first, near = near, components(linked)
-        drop(first)
-    of = written(texts.select("key", "whole", "doc").join(near, F.col("doc") == F.col("node"), "left").select("key", "whole", F.coalesce("root", "doc").alias("component_id")))
-    named = prints.join(of, ["key", "whole"]).groupBy("doc").agg(F.min("component_id").alias("component_id"))
-    named = written(named)
-    drop(prints, texts, found, roots, rows, once, pairs, edges, labels, rest, more, near, of)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(named, ids.doc_id == named.doc, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
