@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from colsql.llm import langid, lm, packing, pieces, pii, quality, sharding, simhash, spotsigs, tokencount
+from colsql.llm import langid, lm, nearcopies, packing, pieces, pii, quality, sharding, simhash, spotsigs, tokencount
 
 from .conftest import TEXTS
 
@@ -28,7 +28,7 @@ def test_a_result_for_every_row(odd, name):
 
 @pytest.mark.parametrize("name", [*PER_ROW, "pack", "near_copies", "matches", "class_of"])
 def test_no_rows(empty, name):
-    f = PER_ROW | {"pack": packing.pack, "near_copies": simhash.near_copies, "matches": spotsigs.matches, "class_of": spotsigs.class_of}
+    f = PER_ROW | {"pack": packing.pack, "near_copies": nearcopies.near_copies, "matches": spotsigs.matches, "class_of": spotsigs.class_of}
     assert f[name](empty).count() == 0
 
 
@@ -39,7 +39,7 @@ def test_only_nulls(spark, name):
 
 
 def test_near_copies_has_a_row_for_every_id(odd):
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(odd).collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(odd).collect()}
     assert got == {i: 1 if i == 2 else i for i, _ in TEXTS}
 
 
