@@ -1,5 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
+import public_tokenizers
+
 from . import spotsigs
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -47,4 +49,24 @@ s AS (SELECT doc_id, n, edited, {_spotsigs("w0")} AS s0, {_spotsigs("w1")} AS s1
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s0, '') AS fingerprint, array_to_string(s1, '') AS edited_fingerprint,
   {_jaccard("s0", "s1")} AS near_edited, {_jaccard("s0", "s2")} AS near_next FROM s"""
 
-ORACLES: dict[str, str] = {"op2_quality": OP2_QUALITY, "op6_spotsigs": OP6_SPOTSIGS}
+#: Words and pieces as hex digits of their bytes, ! after the last byte of a word and of a piece that marks an end.
+OP8_TOKEN_COUNTS = rf"""
+WITH RECURSIVE b AS (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS plain FROM range(256) r(b)),
+letters AS (SELECT CASE WHEN plain THEN chr(b::INT) ELSE chr((255 + row_number() OVER (PARTITION BY plain ORDER BY b))::INT) END AS letter, lower(printf('%02x', b)) AS hex FROM b),
+file AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS piece FROM read_text('{public_tokenizers.path("word_bpe_49k.json")}')),
+body AS (SELECT DISTINCT piece, ends_with(piece, '</w>') AS marked, CASE WHEN ends_with(piece, '</w>') THEN left(piece, length(piece) - 4) ELSE piece END AS body FROM file),
+spread AS (SELECT piece, marked, unnest(string_split(body, '')) AS letter, unnest(range(1, length(body) + 1)) AS i, length(body) AS n FROM body WHERE length(body) > 0),
+pieces AS (SELECT DISTINCT string_agg(hex, '' ORDER BY i) || CASE WHEN any_value(marked) THEN '!' ELSE '' END AS p FROM spread JOIN letters USING (letter) GROUP BY piece HAVING count(*) = any_value(n)),
+longest AS (SELECT max(length(p)) AS most FROM pieces),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}+') AS words FROM documents),
+flat AS (SELECT r, unnest(words) AS w FROM d),
+ws AS (SELECT w, lower(hex(encode(w))) || '!' AS h FROM (SELECT DISTINCT w FROM flat)),
+spot AS (SELECT w, h, unnest(range(1, length(h), 2)) AS i FROM ws),
+part AS (SELECT w, h, i, unnest(list_concat(range(2, least(length(h) - i, most + 1), 2), [length(h) - i + 1])) AS n FROM spot, longest WHERE i < length(h)),
+found AS (SELECT w, i, max(n) AS n FROM part JOIN pieces ON p = substring(h, i::BIGINT, n::BIGINT) WHERE n % 2 = 1 OR substring(h, (i + n)::BIGINT, 1) <> '!' GROUP BY w, i),
+walk(w, i, n) AS (SELECT w, 1::BIGINT, 0::BIGINT FROM ws UNION ALL SELECT walk.w, (walk.i + found.n)::BIGINT, walk.n + 1 FROM walk JOIN found ON walk.w = found.w AND walk.i = found.i),
+cut AS (SELECT ws.w, max(walk.n) FILTER (walk.i > length(h)) AS n FROM ws JOIN walk ON ws.w = walk.w GROUP BY ws.w)
+SELECT doc_id, len(words) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(s.u, 0) AS BIGINT) AS n_unknown, CAST(coalesce(s.m, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN (SELECT r, sum(coalesce(n, 1)) AS n, count(*) FILTER (n IS NULL) AS u, max(coalesce(n, 1)) AS m FROM flat JOIN cut USING (w) GROUP BY r) s ON d.r = s.r"""
+
+ORACLES: dict[str, str] = {"op2_quality": OP2_QUALITY, "op6_spotsigs": OP6_SPOTSIGS, "op8_token_counts": OP8_TOKEN_COUNTS}

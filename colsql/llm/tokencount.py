@@ -15,7 +15,8 @@ from .common import map_arrow
 
 #: Words whose counts a task remembers.
 MEMORY = 300_000
-_MARK = "</w>"
+#: Added to a word's last byte: where a vocabulary marks the ends of words, that byte is a symbol of its own.
+LAST = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -27,17 +28,23 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
-def vocabulary(path: str | None = None) -> list[tuple[int, ...]]:
-    """The pieces of a byte-level tokenizers file as bytes. A mark of word ends is left out: greedy matching can't look ahead
-    for it, so a piece counts wherever its bytes are, and all single bytes are pieces."""
+def vocabulary(path: str | None = None) -> tuple[list[tuple[int, ...]], bool]:
+    """The pieces of a byte-level tokenizers file as symbols, and whether it marks the ends of words: then the last byte of a
+    marked piece, and of every word, has LAST added. All single bytes are pieces, so every word can be cut."""
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        pieces = json.load(f)["model"]["vocab"]
-    letters, out = byte_letters(), []
-    for p in pieces:
-        body = p.removesuffix(_MARK)
-        if all(x in letters for x in body):
-            out.append(tuple(letters[x] for x in body))
-    return [p for p in dict.fromkeys(out) if p]
+        model = json.load(f)["model"]
+    letters, mark, out = byte_letters(), model.get("end_of_word_suffix") or "", []
+    for p in model["vocab"]:
+        body = p.removesuffix(mark) if mark else p
+        if body and all(x in letters for x in body):
+            symbols = [letters[x] for x in body]
+            symbols[-1] += LAST * (body != p)
+            out.append(tuple(symbols))
+    return list(dict.fromkeys(out)), bool(mark)
+
+
+def symbols_of(word: bytes, marked: bool) -> Iterable[int]:
+    return (*word[:-1], word[-1] + LAST) if marked and word else word
 
 
 class Automaton:
@@ -101,13 +108,14 @@ def greedy(symbols: tuple[int, ...], pieces: set[tuple[int, ...]]) -> int | None
 
 
 @lru_cache(maxsize=1)
-def automaton_of(path: str | None) -> tuple[Automaton, dict[bytes, int]]:
-    """An automaton and the counts of words seen, kept by a worker for its next task."""
-    return Automaton(vocabulary(path)), {}
+def automaton_of(path: str | None) -> tuple[Automaton, bool, dict[bytes, int]]:
+    """An automaton, whether it marks ends, and the counts of words seen, kept by a worker for its next task."""
+    pieces, marked = vocabulary(path)
+    return Automaton(pieces), marked, {}
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    automaton, known = automaton_of(path)
+    automaton, marked, known = automaton_of(path)
     for b in batches:
         words, total, unknown, most = [], [], [], []
         for text in b.column(1).to_pylist():
@@ -118,7 +126,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
                 if k is None:
                     if len(known) >= MEMORY:
                         known.clear()
-                    k = automaton.count(w) or -1
+                    k = automaton.count(symbols_of(w, marked)) or -1
                     if len(w) <= 256:
                         known[w] = k
                 if k < 0:
