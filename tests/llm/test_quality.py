@@ -33,14 +33,46 @@ def test_order_never_changes_a_verdict(docs):
 
 
 def test_order_is_by_rejection_per_cost():
-    rules = [quality.Rule(n, lambda t: False) for n in "abc"]
-    e = [quality.Estimate(rules[0], 1.0, 0.5), quality.Estimate(rules[1], 0.1, 0.2), quality.Estimate(rules[2], 10.0, 0.9)]
-    assert [r.name for r in quality.ordered(e)] == ["b", "a", "c"]
+    rules = [quality.Rule(n, lambda t: False, needs) for n, needs in (("a", ("x",)), ("b", ("y",)), ("c", ("z",)))]
+    sample = [quality.Sampled({"x": 1.0, "y": 0.1, "z": 10.0}, (k < 50, 40 <= k < 60, k < 90)) for k in range(100)]
+    assert [r.name for r in quality.ordered(sample, rules)] == ["b", "a", "c"]
+
+
+def test_shared_measures_cost_once_and_rejected_texts_count_once():
+    rules = [quality.Rule(n, lambda t: False, needs) for n, needs in (("a", ("x",)), ("b", ("x", "y")), ("c", ("z",)))]
+    # b costs little once a has asked for x, so it comes before c, though c rejects more for its cost than b from nothing
+    sample = [quality.Sampled({"x": 1.0, "y": 0.01, "z": 0.5}, (k < 60, 50 <= k < 70, k >= 85)) for k in range(100)]
+    assert [r.name for r in quality.ordered(sample, rules)] == ["a", "b", "c"]
+    # what a rejects is no merit of d
+    rules, sample = [quality.Rule(n, lambda t: False, (n,)) for n in "ade"], [quality.Sampled({"a": 1.0, "d": 1.0, "e": 1.0}, (k < 60, k < 55, k >= 95)) for k in range(100)]
+    assert [r.name for r in quality.ordered(sample, rules)] == ["a", "e", "d"]
+
+
+def test_rules_need_what_they_say():
+    """A rule computes no measure that it doesn't list."""
+    for rule in quality.RULES:
+        t = quality.Text(b"some words and, well, !!! more\n" * 20)
+        rule.rejects(t)
+        assert set(vars(t)) - {"text"} <= set(rule.needs), rule.name
+
+
+def test_the_sample_is_of_all_rows(spark):
+    """Sorted input: the first partitions alone would never show what rejects."""
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(4000).repartitionByRange(8, "id").selectExpr("id AS doc_id", f"CASE WHEN id < 3000 THEN '{good}' ELSE repeat('# ', 50) END AS text")
+    sample = quality.fit(docs)
+    assert sample[0].name in ("symbols", "stutter", "repeated_windows", "word_length") and sample[-1].name != "symbols"
+
+
+def test_texts_without_spaces(spark):
+    thai, chinese, short = "\u0e01\u0e32\u0e23\u0e17\u0e14\u0e2a\u0e2d\u0e1a" * 8, "".join(chr(0x4E00 + 37 * i) for i in range(90)), chr(0x4E00) * 3
+    assert [r.doc_id for r in quality.keep_good(frame(spark, chinese, short)).collect()] == [0]
+    assert quality.Spaced(thai.encode()).n_words == len(thai) and quality.Spaced("naïve – a".encode()).n_words == 3
 
 
 def test_a_cascade_stops_at_the_first_rejection():
     asked = []
-    rules = [quality.Rule("yes", lambda t: True), quality.Rule("later", lambda t: asked.append(1) or False)]
+    rules = [quality.Rule("yes", lambda t: True, ()), quality.Rule("later", lambda t: asked.append(1) or False, ())]
     assert not quality.passes(quality.Text(b"x"), rules) and not asked
 
 
