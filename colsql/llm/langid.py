@@ -15,8 +15,9 @@ from .common import map_arrow
 
 #: Hashed features of a text: its letter 1- to 3-grams.
 BITS = 13
-#: Labelled texts a language, and of all languages, that the classifiers are fitted on; and languages at most.
-PER_LANGUAGE, SAMPLE_ROWS, LANGUAGES = 300, 2400, 1000
+#: Labelled texts a language, and of all languages, that the classifiers are fitted on. A language needs two, so the
+#: SAMPLE_ROWS / 2 with the most texts can be learned.
+PER_LANGUAGE, SAMPLE_ROWS = 300, 2400
 UNKNOWN = "und"
 FAMILIES = {
     "germanic": "en de nl af da sv no nb nn is fy lb yi", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk bg sr hr bs sl mk",
@@ -40,7 +41,10 @@ def features(text: str) -> np.ndarray | None:
     """
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     low = code < 1 << 16
-    letter = np.where(low, _LETTER[np.where(low, code, 0)], True)
+    letter = _LETTER[np.where(low, code, 0)] & low
+    if not low.all():
+        high = np.unique(code[~low])
+        letter |= np.isin(code, high[[chr(c).isalpha() for c in high.tolist()]])
     if not letter.any():
         return None
     code = np.where(letter, code, np.uint32(32))
@@ -151,9 +155,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int
     labelled: doc_id, text, lang. Rows with a null text or lang, or without a letter, teach nothing. No row: a model that says `und`.
     """
     rows = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows // 2).collect()}
     if not counts:
         return Model(np.zeros((0, 1 << BITS), np.float32), [])
     most = max(2, min(per_language, sample_rows // len(counts)))

@@ -56,3 +56,18 @@ def test_one_language(spark):
 def test_columns_keep_their_values(spark):
     d = spark.createDataFrame([(1, "some text here", "en", "mine", 7)], "doc_id long, text string, lang string, lang_pred string, score int")
     assert [tuple(r) for r in langid.keep_known(d).collect()] == [(1, "some text here", "en", "mine", 7)]
+
+
+def test_letters_above_the_first_plane(spark):
+    """Emoji are no letters; mathematical and Gothic letters are."""
+    assert langid.features("\U0001f642\U0001f680 12") is None and langid.features("\U0001d400\U0001d401") is not None and langid.features("\U00010330 \U0001f642") is not None
+    train = spark.createDataFrame([(i, "some english text here", "en") for i in range(5)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(frame(spark, "\U0001f642\U0001f642", "\U0001f642 word"), langid.fit(train)).collect()}
+    assert got[0] == ("und", 0.0) and got[1][0] == "en"
+
+
+def test_very_many_labels(spark):
+    """Labels with the most texts are learned; no number of them is an error."""
+    rows = [(i, f"text number {i}", f"x{i % 1500}") for i in range(3000)] + [(5000 + i, "the english words", "en") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=40)
+    assert "en" in model.top.classes or any("en" in d.classes for d in model.below.values())
