@@ -1,8 +1,9 @@
 """Personal data: fixed formats, and what is found from them by bootstrapping. DataFrame functions only.
 
-Seeds (what the formats match, and secrets of well-known form) induce lexical patterns: the word before and the shape. A
-graph of patterns and instances (identifier-like tokens) is scored in turns: a pattern by the share of good instances, an
-instance by its patterns. Instances of confident patterns become spans of their own.
+Seeds (what the formats match, and secrets of well-known form) induce lexical patterns: the word before, the two words before, and the
+shape. A graph of patterns and instances (identifier-like tokens) is scored in turns: a pattern by the share of good instances,
+an instance by its patterns. Instances that confident patterns accept support further patterns in the next turn, until a turn
+accepts nothing new; those that aren't seeds become spans of their own.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ KINDS = tuple(k for k, _ in BASE)
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Kind of what is discovered.
 FOUND = "id"
-_TOKEN = r"(?<![A-Za-z0-9_])[A-Za-z0-9](?:[A-Za-z0-9_-]){7,127}+(?![A-Za-z0-9_-])"
+_TOKEN = r"(?<![A-Za-z0-9_])[A-Za-z0-9](?:[A-Za-z0-9_-]){7,}+"
+#: What is assigned, with the sign before it: any run of other characters than these, of six or more.
+_SIGN = r"[=:]\s{0,3}[\"']?"
+_ASSIGNED = _SIGN + r"[^\s\"'<>,;()\[\]{}=:][^\s\"'<>,;()\[\]{}]{4,}[A-Za-z0-9/+=_-]"
 _SECRET = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})$"
-#: Turns of scoring; good seeds that a pattern needs; confidences from which a pattern counts and an instance is a span.
-ROUNDS, SUPPORT, SURE, ACCEPT = 3, 5, 0.8, 0.8
+#: Good instances that a pattern needs; confidences from which a pattern counts and an instance is good.
+SUPPORT, SURE, ACCEPT = 5, 0.8, 0.8
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -101,26 +105,37 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, taken: Column) -> Column:
-    """Identifier-like tokens that overlap nothing in taken: of 8 to 128 characters, at least 4 of them digits, or a secret of
-    well-known form."""
-    free = lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    found = F.filter(spans(text, FOUND, _TOKEN), lambda s: ((_digits(s["value"]) >= 4) | s["value"].rlike(_SECRET)) & free(s))
-    return F.when(text.rlike("[0-9]|AKIA"), found).otherwise(F.expr(_EMPTY))
+    """Identifier-like tokens that overlap nothing in taken: what is assigned, and elsewhere tokens of eight characters or more, at
+    least four of them digits, or secrets of well-known form."""
+
+    def free(of: Column) -> Callable[[Column], Column]:
+        return lambda s: ~F.exists(of, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+
+    def value(s: Column) -> Column:
+        rest = F.regexp_replace(s["value"], "^" + _SIGN, "")
+        return F.struct(s["kind"].alias("kind"), (s["end"] - F.length(rest)).alias("start"), s["end"].alias("end"), rest.alias("value"))
+
+    assigned = F.when(text.rlike("[=:]"), F.filter(F.transform(spans(text, FOUND, _ASSIGNED), value), free(taken))).otherwise(F.expr(_EMPTY))
+    listed = F.filter(spans(text, FOUND, _TOKEN), lambda s: ((_digits(s["value"]) >= 4) | s["value"].rlike(_SECRET)) & free(taken)(s))
+    others = F.when(text.rlike("[0-9]|AKIA"), listed).otherwise(F.expr(_EMPTY))
+    return let(assigned, lambda own: F.concat(own, F.filter(others, free(own))))
 
 
 def patterns(text: Column, span: Column) -> Column:
-    """Lexical patterns of a span: the word before it with whether something is assigned, and its shape."""
-    before = F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40)))
+    """Lexical patterns of a span: the word and the two words before it, with whether something is assigned, and its shape."""
+    before = F.substring(text, F.greatest(span["start"] - 79, F.lit(1)), F.least(span["start"], F.lit(80)))
     assigned = F.when(F.regexp_extract(before, r"([\s=:\"']*)$", 1).rlike("[=:]"), "=").otherwise(" ")
-    word = F.lower(F.regexp_extract(before, r"([^\s=:\"']+)[\s=:\"']*$", 1))
+    words = F.lower(F.regexp_extract(before, r"((?:[^\s=:\"']+[\s=:\"']+)?[^\s=:\"']+)[\s=:\"']*$", 1))
     value = span["value"]
     shape = (
         F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("num"), F.length(value).cast("string")))
-        .when(value.rlike("^[0-9a-f]+$"), F.lit("hex"))
+        .when(value.rlike("^[0-9a-f]+$"), F.concat(F.lit("hex"), F.length(value).cast("string")))
         .when(value.rlike("^[0-9A-Z]+$"), F.concat(F.lit("caps"), F.length(value).cast("string"), F.regexp_extract(value, "^[A-Z]{0,4}", 0)))
         .otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A"))
     )
-    return F.array(F.concat(F.lit("L:"), word, assigned), F.concat(F.lit("S:"), shape))
+    one, two = F.regexp_extract(words, r"([^\s=:\"']+)$", 1), F.regexp_replace(words, r"[\s=:\"']+", " ")
+    left = F.array(F.concat(F.lit("L:"), one, assigned), F.concat(F.lit("S:"), shape))
+    return F.when(F.contains(two, F.lit(" ")), F.concat(left, F.array(F.concat(F.lit("LL:"), two, assigned)))).otherwise(left)
 
 
 def extract(docs: DataFrame, *more: str) -> DataFrame:
@@ -133,22 +148,29 @@ def extract(docs: DataFrame, *more: str) -> DataFrame:
     return rows.withColumn("seen", F.concat(seen(F.col("base"), lambda s: F.lit(1.0)), seen(F.col("tokens"), lambda s: F.when(s["value"].rlike(_SECRET), 1.0).otherwise(0.0))))
 
 
-def discovered(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, accept: float = ACCEPT) -> DataFrame:
+def discovered(seen: DataFrame, support: int = SUPPORT, sure: float = SURE, accept: float = ACCEPT) -> DataFrame:
     """Instances with a score of accept or more, from seen(instance, seed, patterns): written tables each turn, no row is dropped.
 
-    A pattern's confidence is the mean score of its instances, shrunk by one bad one, and 0 with fewer than support good
-    seeds or below sure; an instance's score is the chance that not all of its patterns err, where they err independently.
+    A pattern's confidence is the mean score of its instances, shrunk by one bad one; it counts from sure on, with at least
+    support good instances: seeds, and what turns before have accepted. An instance's score is the chance that not all of its
+    patterns err, where they err independently; it never falls. Turns end when no instance is newly good and no pattern newly
+    counts, so there are at most as many as patterns and instances; a chain of hops takes a turn a hop.
     """
     edges = written(seen.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
-    scores = written(edges.groupBy("instance").agg(F.max("seed").alias("score"), F.max("seed").alias("seed")))
-    for _ in range(rounds):
+    scores = written(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")))
+    state = None
+    while True:
         scored = edges.select("instance", "pattern").join(scores, "instance")
-        conf = F.sum("score") / (F.count("*") + 1)
-        patterns_ = written(scored.groupBy("pattern").agg(conf.alias("conf"), F.sum("seed").alias("seeds")).where((F.col("seeds") >= support) & (F.col("conf") >= sure)).select("pattern", "conf"))
-        one = edges.join(patterns_, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.coalesce("conf", F.lit(0.0)))).alias("err"))
-        after = written(one.select("instance", F.greatest("seed", 1 - F.exp("err")).alias("score"), "seed"))
-        drop(scores, patterns_)
+        good = F.sum((F.col("score") >= accept).cast("int"))
+        counting = written(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("conf"), good.alias("good")).where((F.col("good") >= support) & (F.col("conf") >= sure)).select("pattern", "conf"))
+        one = edges.join(counting, "pattern", "left").groupBy("instance").agg(F.sum(F.log1p(-F.coalesce("conf", F.lit(0.0)))).alias("err"))
+        after = written(scores.join(one, "instance").select("instance", F.greatest("score", 1 - F.exp("err")).alias("score")))
+        now = counting.count(), after.where(F.col("score") >= accept).count()
+        drop(scores, counting)
         scores = after
+        if now == state:
+            break
+        state = now
     drop(edges)
     return scores.where(F.col("score") >= accept).select("instance")
 
@@ -183,7 +205,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span of its text replaced by its kind in angle brackets; what overlaps becomes one. A null text stays null."""
+    """docs with each span of its text replaced by its kind in angle brackets; what overlaps becomes one.
+
+    A null text stays null, an empty one empty. Rows that repeat are masked alike; columns may have any names; an empty table
+    gives no rows.
+    """
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = [f"_{i}" for i in range(len(names))]
     kept = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for c, x in zip(names, inner, strict=True)), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
