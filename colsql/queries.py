@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import SqlError
 from .session import Session
 
 #: name: (tables, text in the dialect, DuckDB SQL; None if the text itself is DuckDB's too)
@@ -187,6 +188,21 @@ q("rate_of_returns", "lineitem part", "SELECT p_brand, COUNT(*) AS n, ROUND(COUN
 q("contains_newest", "orders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderpriority LIKE '%URG%' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
 
 
+# forms that had no query of their own
+q("distinct_star", "nation", "SELECT DISTINCT * FROM (SELECT n_regionkey, n_nationkey % 2 AS odd FROM nation) d")
+q("agg_all", "lineitem", "SELECT l_returnflag, COUNT(ALL l_tax) AS n, ROUND(SUM(ALL l_quantity), 2) AS s, MAX(ALL l_shipdate) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, COUNT(l_tax) AS n, ROUND(SUM(l_quantity), 2) AS s, MAX(l_shipdate) AS d FROM lineitem GROUP BY l_returnflag")
+q("order_ordinals", "orders", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders ORDER BY 3 DESC, 2 LIMIT 40")
+q("current_moments", "nation", "SELECT n_nationkey, CURRENT_DATE <= CURRENT_TIMESTAMP AS a, CURRENT_TIMESTAMP > TIMESTAMP '2020-01-01 00:00:00' AS b, LENGTH(CURRENT_TIME) AS c, LOCALTIMESTAMP - INTERVAL '1' DAY < CURRENT_TIMESTAMP AS d FROM nation", "SELECT n_nationkey, TRUE AS a, TRUE AS b, 8 AS c, TRUE AS d FROM nation")
+q("spilling_join", "lineitem orders", "SELECT o_orderkey, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate GROUP BY o_orderkey")
+q("small_build_side", "orders customer nation", "SELECT n_name, COUNT(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name")
+q("sort_keys", "customer", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey DESC LIMIT 100")
+q("sort_all", "lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber")
+q("string_order", "part", "SELECT p_partkey, p_name, ROW_NUMBER() OVER (ORDER BY p_name, p_partkey) AS at FROM part")
+q("correlated_superset", "nation region", "SELECT r_regionkey FROM region WHERE EXISTS (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 20)")
+q("datetime_milliseconds", "orders", "SELECT o_orderkey, DATE_TRUNC('day', o_orderdate) + INTERVAL '1' SECOND AS at FROM orders", "SELECT o_orderkey, DATE_TRUNC('day', o_orderdate) + INTERVAL 1 SECOND AS at FROM orders")
+q("group_by_semantics", "orders", "SELECT o_custkey % 10 AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey % 10")
+
+
 def _runner(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Session(spark).load(sf_dir, *tables.split()).sql(text)
@@ -204,9 +220,82 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT o_orderkey, o_totalprice * $2 AS x, $3 AS name FROM orders WHERE o_orderstatus = $1 AND o_totalprice > $4 ORDER BY o_orderkey LIMIT $5", ["F", 2, "it's", 100000.5, 50])
 
 
+#: Statements that the dialect refuses, each for a reason of its own.
+REFUSED = (
+    "SELECT n_name FROM nation WHERE RANK() OVER (ORDER BY n_name) = 1", "SELECT SUM(DISTINCT n_nationkey) OVER () AS x FROM nation", "SELECT NTILE(2) OVER () AS x FROM nation",
+    "SELECT SUM(n_nationkey) OVER (ORDER BY n_nationkey RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM nation", "SELECT n_name, n_name FROM nation", "SELECT DISTINCT COUNT(*) FROM nation",
+    "SELECT r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_name = r_name)", "SELECT (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey) AS x FROM region",
+    "SELECT n_name FROM nation HAVING n_name = 'x'", "SELECT n_name FROM nation LIMIT 0", "SELECT n_name + 1 AS x FROM nation", "SELECT 1; SELECT 2",
+)
+
+
+def refused_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement, and whether it is an error."""
+    s = Session(spark).load(sf_dir, "nation", "region")
+
+    def is_error(text: str) -> bool:
+        try:
+            s.spark_sql(text)
+        except SqlError:
+            return True
+        return False
+
+    return spark.createDataFrame([(i, is_error(t)) for i, t in enumerate(REFUSED)], "form int, refused boolean")
+
+
+def scalar_of_many_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar subquery of several rows is an error when it runs; one of one row or none isn't."""
+    s = Session(spark).load(sf_dir, "region")
+
+    def fails(where: str) -> bool:
+        try:
+            s.sql(f"SELECT (SELECT r_name FROM region WHERE {where}) AS x").collect()
+        except Exception:  # noqa: BLE001  Spark's own
+            return True
+        return False
+
+    return spark.createDataFrame([(w, fails(w)) for w in ("r_regionkey < 3", "r_regionkey = 3", "r_regionkey > 99")], "part string, fails boolean")
+
+
+def plan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the physical plans of some statements have: filters and columns at the scan, partial sums, a bounded sort."""
+    s = Session(spark).load(sf_dir, "orders", "lineitem", "nation", "customer")
+    scan = s.explain("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'F'")
+    facts = {
+        "filters are pushed": "GreaterThan(o_totalprice" in scan and "EqualTo(o_orderstatus,F)" in scan,
+        "columns are pruned": "o_orderkey" in scan and "o_comment" not in scan and "o_custkey" not in scan,
+        "sums are partial": "partial_sum" in s.explain("SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem GROUP BY l_returnflag"),
+        "top rows are a bounded sort": "TakeOrderedAndProject" in s.explain("SELECT o_orderkey FROM orders ORDER BY o_totalprice LIMIT 5"),
+        "a small side is broadcast": "BroadcastHashJoin" in s.explain("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+        "a semi join stays one": "LeftSemi" in s.explain("SELECT c_custkey FROM customer WHERE EXISTS (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey)"),
+    }
+    return spark.createDataFrame(list(facts.items()), "fact string, holds boolean")
+
+
+def arrow_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as Arrow's stream format and back."""
+    import pyarrow as pa
+
+    table = Session(spark).load(sf_dir, "nation").sql("SELECT n_nationkey, n_name, NULLIF(n_regionkey, 2) AS r FROM nation").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return spark.createDataFrame(pa.ipc.open_stream(sink.getvalue()).read_all())
+
+
+def _constants(names: str, rows: list[tuple]) -> str:
+    texts = ("(" + ", ".join("TRUE" if v is True else "FALSE" if v is False else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {', '.join(texts)}) v({names})"
+
+
+_FACTS = ("filters are pushed", "columns are pruned", "sums are partial", "top rows are a bounded sort", "a small side is broadcast", "a semi join stays one")
 #: Registered queries that are functions, with DuckDB's SQL.
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fts_search": (fts_search, _search()),
+    "refused_forms": (refused_forms, _constants("form, refused", [(i, True) for i in range(len(REFUSED))])),
+    "scalar_of_many_rows": (scalar_of_many_rows, _constants("part, fails", [("r_regionkey < 3", True), ("r_regionkey = 3", False), ("r_regionkey > 99", False)])),
+    "plan_facts": (plan_facts, _constants("fact, holds", [(f, True) for f in _FACTS])),
+    "arrow_wire": (arrow_wire, "SELECT n_nationkey, n_name, NULLIF(n_regionkey, 2) AS r FROM nation"),
     "parameters": (parameters, "SELECT o_orderkey, o_totalprice * 2 AS x, 'it''s' AS name FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000.5 ORDER BY o_orderkey LIMIT 50"),
 }
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import itertools
+import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import TypeVar
@@ -16,10 +18,11 @@ from . import functions
 from .errors import ConflictError, SqlError
 from .operators import fulltext, recursion
 from .plans.ast import QUERIES, Node, mapped, walk
+from .plans.bounds import bounds_of
 from .plans.lower import Columns, Lower, Scope, Source, ident
 from .plans.parser import parse, parse_expression
 from .sources.database import RETRIES, Work
-from .sources.store import SPARK_TYPES, Store
+from .sources.store import SPARK_TYPES, Bounds, Store
 
 CONF = {"spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
 SELF = "__self"
@@ -41,7 +44,7 @@ class Result:
 class Session:
     """One user of a database. It has a Spark session of its own, so its settings and views don't touch the caller's."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, strict: bool = True, exact_round: bool = False) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, strict: bool = True, exact_round: bool = False, idle_seconds: float = 30.0) -> None:
         self.spark = spark.newSession()
         for k, v in CONF.items():
             self.spark.conf.set(k, v)
@@ -53,6 +56,7 @@ class Session:
         self.at_version: int | None = None
         self.numbers = itertools.count()
         self._statistics: dict = {}
+        self.idle_seconds, self._idle = idle_seconds, threading.Lock()
 
     # sources
 
@@ -92,14 +96,16 @@ class Session:
             return self.sql(state["views"][name])
         raise SqlError(f"Unknown table {name}")
 
-    def relation(self, name: str) -> tuple[str, Columns] | Node:
+    def relation(self, name: str, asked: Callable[[str], Bounds | None] = lambda column: None) -> tuple[str, Columns] | Node:
+        """A table or view as lowering sees it. Files of a table of its own that can't have a key within what is asked are left out."""
         if name in self.frames:
             return ident(name), [(f.name, logical(f.dataType)) for f in self.frames[name].schema.fields]
         state = self.state()
         if name in state["tables"]:
             t = state["tables"][name]
             view = f"__t{next(self.numbers)}"
-            self.store.frame(t).createOrReplaceTempView(view)
+            bounds = asked(t["key"]) if t["key"] else None
+            self.store.frame(t, self.store.files(t, bounds)).createOrReplaceTempView(view)
             return view, [(c["name"], c["type"]) for c in t["columns"]]
         if name in state["views"]:
             return parse(state["views"][name])[0]
@@ -128,7 +134,21 @@ class Session:
         if tree.kind != "query":
             raise SqlError("Run one SELECT statement at a time: execute() takes others")
         self.check_params(written, params)
-        return self.lower(params).query(tree)[0]
+        text, columns = self.lower(params).query(tree)
+        n = self.counted(tree)
+        return text if n is None else f"SELECT CAST({n} AS BIGINT) AS {ident(columns[0][0])}"
+
+    def counted(self, q: Node) -> int | None:
+        """The rows of a table of its own, if a query asks for nothing else: its manifest has them, no file is read."""
+        b = q.body
+        if q.ctes or q.order or q.limit or q.offset or b.kind != "select" or b.where is not None or b.group or b.having or b.distinct or len(b.items) != 1 or len(b.joins) != 1:
+            return None
+        e, source = b.items[0].expr if b.items[0].kind == "item" else None, b.joins[0].source
+        if e is None or e.kind != "call" or e.name != "count" or not e.star or e.over is not None or getattr(e, "filter", None) is not None:
+            return None
+        if source.kind != "table" or source.name in self.frames or source.name not in (tables := self.state()["tables"]):
+            return None
+        return self.store.count(tables[source.name])
 
     def sql(self, text: str, params: Sequence[object] = ()) -> DataFrame:
         return self.spark.sql(self.spark_sql(text, params))
@@ -139,6 +159,13 @@ class Session:
     def search(self, query: str, tables: Sequence[str], limit: int = 10) -> DataFrame:
         return fulltext.search({n: self.table(n) for n in tables}, query, limit)
 
+    def another(self) -> Session:
+        """A session of the same database and tables with settings, a transaction and a version of its own."""
+        out = Session(self.spark, self.store.root if self.store else None, self.strict, self.exact_round, self.idle_seconds)
+        for name, df in self.frames.items():
+            out.register(name, df)
+        return out
+
     # snapshots and transactions
 
     @contextlib.contextmanager
@@ -166,14 +193,16 @@ class Session:
         tree, written = parse(text)
         self.check_params(written, params)
         if tree.kind == "query":
-            return Result(0, self.spark.sql(self.lower(params).query(tree)[0]))
+            return Result(0, self.sql(text, params))
         if not self.store:
             raise SqlError("This session has no tables of its own: give it a root")
         if tree.kind == "begin":
             if self.work:
                 raise SqlError("A transaction is open")
             self.work = Work(self.store)
+            self._watch(self.work)
             return Result(0)
+        self._touch()
         if tree.kind in ("commit", "rollback"):
             work, self.work = self.work, None
             if not work:
@@ -189,6 +218,36 @@ class Session:
             raise SqlError("Tables can't be created, altered or dropped in a transaction")
         return self._in_work(lambda w: getattr(self, f"do_{tree.kind}")(tree, w, params))
 
+    def _touch(self) -> None:
+        """A statement of the open transaction begins: it isn't idle. One that was for too long has been rolled back."""
+        if self.work:
+            with self._idle:
+                if self.work.expired:
+                    self.work = None
+                    raise SqlError(f"The transaction was idle for {self.idle_seconds} seconds: it was rolled back")
+                self.work.used = time.monotonic()
+
+    def _watch(self, work: Work) -> None:
+        """Rolls work back once no statement has used it for idle_seconds."""
+
+        def look() -> None:
+            with self._idle:
+                if self.work is not work or work.expired:
+                    return
+                left = self.idle_seconds - (time.monotonic() - work.used)
+                if left <= 0 and not work.busy:
+                    work.expired = True
+                    work.rollback()
+                    return
+            again(max(left, 0.05))
+
+        def again(seconds: float) -> None:
+            t = threading.Timer(seconds, look)
+            t.daemon = True
+            t.start()
+
+        again(self.idle_seconds)
+
     def write(self, body: Callable[[Session], A]) -> A:
         """Runs body in a transaction; if another writer changed the same tables meanwhile, again on top of that."""
         for left in range(RETRIES, -1, -1):
@@ -227,6 +286,19 @@ class Session:
         """Batch insert of a DataFrame (of this session, or of the caller's)."""
         return self._in_work(lambda w: Result(self._insert(w, name, self._own(df)).count()))
 
+    def append_batch(self, name: str, batch: DataFrame, stream: str, number: int) -> bool:
+        """Inserts a numbered batch of a stream, unless that one or a later one is there: whether it wasn't."""
+
+        def run(w: Work) -> bool:
+            seen = w.table(name).setdefault("streams", {})
+            if seen.get(stream, -1) >= number:
+                return False
+            self._insert(w, name, self._own(batch))
+            seen[stream] = number
+            return True
+
+        return self._in_work(run)
+
     def insert_rows(self, name: str, rows: Sequence[dict] | dict[str, Sequence]) -> Result:
         return self.insert_frame(name, self._frame(name, rows))
 
@@ -263,7 +335,8 @@ class Session:
 
     def delete_keys(self, name: str, keys: Sequence[object]) -> Result:
         key = Work.keyed(self.state()["tables"][name], name, "DELETE")
-        return self._in_work(lambda w: self._delete(w, name, F.col(f"`{key}`").isin(list(keys))))
+        values = [float(k) if isinstance(k, int) and not isinstance(k, bool) else k for k in keys]
+        return self._in_work(lambda w: self._delete(w, name, F.col(f"`{key}`").isin(list(keys)), Bounds(values=values)))
 
     @staticmethod
     def _listed(rows: Sequence[dict] | dict[str, Sequence]) -> Sequence[dict]:
@@ -286,14 +359,18 @@ class Session:
     def _in_work(self, f: Callable[[Work], A]) -> A:
         """f as part of the open transaction, or as a commit of its own: if another writer changed the same tables meanwhile, f
         runs again on top of that."""
+        self._touch()
         if self.work:
             if self.work.failed:
                 raise SqlError("The transaction failed before: roll it back")
             try:
+                self.work.busy = True
                 return f(self.work)
             except BaseException:
                 self.work.failed = True
                 raise
+            finally:
+                self.work.used, self.work.busy = time.monotonic(), False
         for left in range(RETRIES, -1, -1):
             self.work = work = Work(self.store)
             try:
@@ -315,8 +392,8 @@ class Session:
         self.fire(w, name, "insert", None, new)
         return new
 
-    def _delete(self, w: Work, name: str, where: Column) -> Result:
-        gone, n = w.delete(name, where, self.check)
+    def _delete(self, w: Work, name: str, where: Column, bounds: Bounds | None = None) -> Result:
+        gone, n = w.delete(name, where, self.check, bounds)
         if n:
             self.fire(w, name, "delete", gone, None)
         return Result(n, gone)
@@ -371,7 +448,7 @@ class Session:
             source = [Source(SELF, self.columns_of(t)), Source(tree.table, self.columns_of(t))][:1]
             sets = {c: self.expression(self.own(e, tree.table), source, params, SELF) for c, e in tree.sets}
             where = self.expression(self.own(tree.where, tree.table), source, params, SELF) if tree.where is not None else F.lit(True)
-            old, new, n = w.update(tree.table, where, sets, self.check)
+            old, new, n = w.update(tree.table, where, sets, self.check, self.asked(tree, key, params))
         self.fire(w, tree.table, "update", old, new)
         return Result(n, self.projected(new, tree.returning))
 
@@ -380,6 +457,9 @@ class Session:
         """Columns that name the table itself, without its name."""
         return mapped(e, lambda n: n.copy(path=n.path[1:]) if n.kind == "column_ref" and len(n.path) == 2 and n.path[0] == table else None)
 
+    def asked(self, tree: Node, key: str, params: Sequence[object]) -> Bounds | None:
+        return bounds_of(tree.where, lambda n: n.kind == "column_ref" and n.path in ([key], [tree.table, key]), self.lower(params).param)
+
     def rows_where(self, tree: Node, items: list[Node]) -> Node:
         source = Node("table", None, name=tree.table, alias=tree.table, columns=None)
         join = Node("join", None, type="from", source=source, on=None, using=None, natural=False)
@@ -395,7 +475,7 @@ class Session:
             out = self._delete_rows(w, tree.table, keys)
         else:
             where = self.expression(self.own(tree.where, tree.table), [Source(SELF, self.columns_of(t))], params, SELF) if tree.where is not None else F.lit(True)
-            out = self._delete(w, tree.table, where)
+            out = self._delete(w, tree.table, where, self.asked(tree, key, params))
         return Result(out.count, self.projected(out.rows, tree.returning))
 
     def _delete_rows(self, w: Work, name: str, keys: DataFrame) -> Result:
@@ -403,15 +483,12 @@ class Session:
         t = w.table(name)
         key = t["key"]
         k = keys.toDF("_k").distinct()
-        tagged = w.store.with_file(t).join(k, F.col(f"`{key}`") == F.col("_k"), "left_semi")
-        touched = {r[0] for r in tagged.select("_file").distinct().collect()}
-        listed = w.store.files(t)
-        inside = w.store.frame(t, [f for f in listed if f["path"] in touched])
+        inside, touched, kept = w.touched(t, w.store.with_file(t).join(k, F.col(f"`{key}`") == F.col("_k"), "left_semi"))
         gone = inside.join(k, F.col(f"`{key}`") == F.col("_k"), "left_semi")
         n = gone.count() if touched else 0
         if n:
             files = w.write(inside.join(k, F.col(f"`{key}`") == F.col("_k"), "left_anti"), name)
-            w.put(name, [f for f in listed if f["path"] not in touched] + files)
+            w.put(name, kept + files)
             w.references_to(name, gone, self.check)
             self.fire(w, name, "delete", gone, None)
         return Result(n, gone)
@@ -489,11 +566,8 @@ class Session:
         if changed.groupBy(F.col(ident(key))).count().where("count > 1").isEmpty():
             w.upsert(s.table, changed, list(sets), self.check)
             return
-        # several rows change one: they add up, so one after another
-        listed = rows.limit(10_001).collect()
-        if len(listed) > 10_000:
-            raise SqlError("a trigger's UPDATE changes the same row for too many rows")
-        for r in listed:
+        # several rows change one: they add up, so one after another, a few at a time on the driver
+        for r in rows.toLocalIterator():
             one = self.spark.createDataFrame([r], rows.schema)
             parts, at = None, 0
             for src in reversed(sources) if len(sources) == 2 else sources:

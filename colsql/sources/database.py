@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, ConstraintError, SqlError
-from .store import SPARK_TYPES, Store
+from .store import SPARK_TYPES, Bounds, Store
 
 RETRIES = 8
 
@@ -21,6 +22,7 @@ class Work:
         self.store, self.state = store, store.state()
         self.base, self.changed, self.staged, self.failed = self.state["version"], set(), [], False
         self.in_trigger = False
+        self.used, self.busy, self.expired = time.monotonic(), False, False
 
     def table(self, name: str) -> dict:
         if name not in self.state["tables"]:
@@ -112,22 +114,25 @@ class Work:
         serial = next((c for c in t["columns"] if c["default"] == "autoincrement" and c["name"] not in given), None)
         out = df.select(*(F.col(f"`{c['name']}`").cast(SPARK_TYPES[c["type"]]).alias(c["name"]) if c["name"] in given else default(c).cast(SPARK_TYPES[c["type"]]).alias(c["name"]) for c in t["columns"]))
         if serial is not None:
-            out = self.numbered(out, serial["name"], int(t.get("next", 1)))
-            t["next"] = int(t.get("next", 1)) + out.count()
+            out, n = self.numbered(out, name, serial["name"], int(t.get("next", 1)))
+            t["next"] = int(t.get("next", 1)) + n
         return out
 
-    @staticmethod
-    def numbered(df: DataFrame, column: str, start: int) -> DataFrame:
-        """Gapless numbers: each partition starts after the counts of those before it."""
-        tagged = df.drop(column).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
-        at, offsets = start, {}
-        for p, n in sorted((r._p, r["count"]) for r in tagged.groupBy("_p").count().collect()):
-            offsets[p] = at
-            at += n
-        if not offsets:
-            return df
-        first = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("_p"))
-        return tagged.withColumn(column, (first + F.col("_i")).cast("double")).select(*df.columns)
+    def numbered(self, df: DataFrame, name: str, column: str, start: int) -> tuple[DataFrame, int]:
+        """Gapless numbers, and how many. Rows are written first, with the partition and the place in it that they have then, so
+        that a lost executor can't number them anew; partitions' counts, a row each, give the numbers at which they start."""
+        t = self.table(name)
+        tagged = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        files = self.write(tagged, name, ("_p", "_i"))
+        if not files:
+            return df, 0
+        schema = self.store.physical(t).add("_p", "integer").add("_i", "long")
+        rows = self.store.spark.read.schema(schema).parquet(*(f"{self.store.root}/{f['path']}" for f in files))
+        counts = rows.groupBy("_p").agg(F.count("*").alias("n"))
+        firsts = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n") + start).alias("_first"))
+        numbered = rows.join(firsts, "_p")
+        number = (F.col("_first") + F.col("_i")).cast("double")
+        return numbered.select(*((number if c["name"] == column else F.col(c["id"])).alias(c["name"]) for c in t["columns"])), sum(f["rows"] for f in files)
 
     def insert(self, name: str, df: DataFrame, check: Callable) -> DataFrame:
         t = self.table(name)
@@ -141,19 +146,17 @@ class Work:
         self.check_references(name, new)
         return new
 
-    def rewrite(self, name: str, hit: Column, change: Callable[[DataFrame], DataFrame], check: Callable, extra_join: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, list[dict]]:
-        """Copy on write: only files with a row for which hit is true are written anew. Gives their rows (as they were) and the files kept."""
-        t = self.table(name)
-        rows = extra_join(self.store.with_file(t))
-        touched = {r[0] for r in rows.where(hit).select("_file").distinct().collect()}
-        listed = self.store.files(t)
-        inside = [f for f in listed if f["path"] in touched]
-        return self.store.frame(t, inside), [f for f in listed if f["path"] not in touched]
+    def touched(self, t: dict, rows: DataFrame) -> tuple[DataFrame, list[dict], list[dict]]:
+        """Of a table, the files that rows (with _file) are in: their rows, these files, and the others."""
+        inside, kept = self.store.split(t, (r[0] for r in rows.select("_file").distinct().collect()))
+        return self.store.frame(t, inside), inside, kept
 
-    def update(self, name: str, where: Column, sets: dict[str, Column], check: Callable) -> tuple[DataFrame, DataFrame, int]:
+    def update(self, name: str, where: Column, sets: dict[str, Column], check: Callable, bounds: Bounds | None = None) -> tuple[DataFrame, DataFrame, int]:
+        """Copy on write: only files with a row for which where is true are written anew, and only those are looked at that can
+        have a key within bounds."""
         t = self.table(name)
         key = self.keyed(t, name, "UPDATE")
-        inside, kept = self.rewrite(name, where, lambda d: d, check)
+        inside, _, kept = self.touched(t, self.store.with_file(t, bounds).where(where))
         hit = F.coalesce(where, F.lit(False))
         changed = inside.select(*(F.when(hit, sets[c].cast(inside.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in inside.columns), hit.alias("_hit"))
         files = self.write(changed, name, ("_hit",))
@@ -181,18 +184,16 @@ class Work:
             raise SqlError(f"{what} requires a table with a unique key: {name} has none")
         return t["key"]
 
-    def delete(self, name: str, where: Column, check: Callable) -> tuple[DataFrame, int]:
+    def delete(self, name: str, where: Column, check: Callable, bounds: Bounds | None = None) -> tuple[DataFrame, int]:
         t = self.table(name)
         self.keyed(t, name, "DELETE")
-        before = self.store.files(t)
-        inside, kept = self.rewrite(name, where, lambda d: d, check)
+        inside, _, kept = self.touched(t, self.store.with_file(t, bounds).where(where))
         gone = inside.where(where)
         n = gone.count()
         if n:
             files = self.write(inside.where(~F.coalesce(where, F.lit(False))), name)
             self.put(name, kept + files)
             self.references_to(name, gone, check)
-        del before
         return gone, n
 
     def references_to(self, name: str, gone: DataFrame, check: Callable) -> None:
@@ -204,14 +205,11 @@ class Work:
                 key = r["parent"] or self.table(name)["key"]
                 keys = gone.select(F.col(f"`{key}`").alias("_k")).distinct()
                 rows = self.store.with_file(t).join(keys, F.col(f"`{r['column']}`") == F.col("_k"), "left_semi")
-                touched = {x[0] for x in rows.select("_file").distinct().collect()}
+                inside, touched, kept = self.touched(t, rows)
                 if not touched:
                     continue
                 if r["action"] == "restrict":
                     raise ConstraintError("reference", f"{child} refers to deleted rows of {name}")
-                listed = self.store.files(t)
-                inside = self.store.frame(t, [f for f in listed if f["path"] in touched])
-                kept = [f for f in listed if f["path"] not in touched]
                 marked = inside.join(keys, F.col(f"`{r['column']}`") == F.col("_k"), "left")
                 if r["action"] == "null":
                     new = marked.select(*(F.when(F.col("_k").isNull(), F.col(f"`{c}`")).alias(c) if c == r["column"] else F.col(f"`{c}`") for c in inside.columns))
@@ -241,15 +239,14 @@ class Work:
         listed = self.store.files(t)
         if columns is not None:
             tagged = self.store.with_file(t).join(incoming.select(f"_in_{ki}"), k == F.col(f"_in_{ki}"), "left_semi")
-            touched = {r[0] for r in tagged.select("_file").distinct().collect()}
-            inside = self.store.frame(t, [f for f in listed if f["path"] in touched])
+            inside, touched, listed = self.touched(t, tagged)
             joined = inside.join(incoming, k == F.col(f"_in_{ki}"), "left")
             hit = F.col(f"_in_{ki}").isNotNull()
             changed = joined.select(*(F.when(hit, F.col(f"_in_{i}")).otherwise(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for i, c in enumerate(inside.columns)), hit.alias("_hit"))
             out = self.write(changed, name, ("_hit",)) if touched else []
             old = inside.join(incoming.select(f"_in_{ki}"), k == F.col(f"_in_{ki}"), "left_semi")
             new = self.hits(t, out)
-            listed = [f for f in listed if f["path"] not in touched] + out
+            listed = listed + out
         inserted = self.store.frame(t, fresh_files)
         both = inserted.unionByName(new)
         self.check_rows(name, both, check)
@@ -275,10 +272,7 @@ class Work:
             return out
 
         pairs = target.join(src, on, "inner")
-        touched = {r[0] for r in pairs.where(reduce(lambda a, i: a | (action(True) == i), [i for i, b in enumerate(branches) if b["matched"] and b["action"] != "nothing"], F.lit(False))).select("_file").distinct().collect()}
-        listed = self.store.files(t)
-        inside = self.store.frame(t, [f for f in listed if f["path"] in touched])
-        kept = [f for f in listed if f["path"] not in touched]
+        inside, touched, kept = self.touched(t, pairs.where(reduce(lambda a, i: a | (action(True) == i), [i for i, b in enumerate(branches) if b["matched"] and b["action"] != "nothing"], F.lit(False))))
         joined = inside.alias(alias).join(src.withColumn("_src", F.lit(1)).alias(source_alias), on, "left")
         act = F.when(F.col("_src").isNotNull(), action(True)).otherwise(F.lit(-1))
         outs = []
@@ -314,10 +308,35 @@ class Work:
         old = joined.where(act.isin(updated)).select(*(F.col(f"`{alias}`.`{c}`").alias(c) for c in inside.columns)) if updated else inside.limit(0)
         return {"inserted": new, "old": old, "updated": hits, "deleted": gone, "count": new.count() + hits.count() + n_gone}
 
-    def compact(self, name: str, rows: int = 1_000_000) -> None:
-        """Rewrites files into fewer, of about that many rows, sorted by key so that row groups can be skipped."""
+    def compact(self, name: str, rows: int = 1_000_000, most_bytes: int | None = None) -> int:
+        """Rewrites small files, and those whose keys overlap with another's, into files of about so many rows, sorted by key, so that files and row
+        groups can be skipped. Files that are large enough and apart stay as they are, so a table that grows at its end is never
+        rewritten as a whole. With most_bytes, runs of files are taken until they have so many bytes: call again for the
+        rest, each call is a commit of its own. Gives the files that were rewritten."""
         t = self.table(name)
-        df = self.frame(name)
-        n = max(1, -(-df.count() // rows))
+        listed = self.store.files(t)
+        known = [f for f in listed if f.get("rows") is not None and f.get("low") is not None]
+        runs: list[list[dict]] = [[f] for f in listed if f not in known]
+        high = None
+        for f in sorted(known, key=lambda f: (f["low"], f["high"])):
+            small = f["rows"] < rows // 2
+            if high is not None and (f["low"] <= high or small and sum(x["rows"] for x in runs[-1]) < rows):
+                runs[-1].append(f)
+            else:
+                runs.append([f])
+            high = f["high"] if high is None else max(high, f["high"])
+        todo, held = [], 0
+        for run in (r for r in runs if len(r) > 1 or r[0].get("rows") is None or r[0]["rows"] > 2 * rows):
+            if todo and most_bytes is not None and held + sum(f["bytes"] for f in run) > most_bytes:
+                break
+            todo += run
+            held += sum(f["bytes"] for f in run)
+        if not todo:
+            return 0
+        df = self.store.frame(t, todo)
+        known_rows = [f.get("rows") for f in todo]
+        n = max(1, -(-(df.count() if None in known_rows else sum(known_rows)) // rows))
         df = df.repartitionByRange(n, F.col(f"`{t['key']}`")).sortWithinPartitions(F.col(f"`{t['key']}`")) if t["key"] else df.repartition(n)
-        self.put(name, self.write(df, name))
+        taken = {f["path"] for f in todo}
+        self.put(name, [f for f in listed if f["path"] not in taken] + self.write(df, name))
+        return len(todo)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ConstraintError
 from .session import Session
 from .sources.intermediate import shared_folder
 from .sources.migrate import Column, Table, migrate
@@ -209,6 +210,94 @@ def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT id, value FROM e")
 
 
+_ODD = 'CREATE TABLE "my table" (id INT PRIMARY KEY, segment TEXT, balance DOUBLE PRECISION)'
+_ODD_FILL = 'INSERT INTO "my table" (id, segment, balance) SELECT c_custkey, c_mktsegment, c_acctbal FROM customer'
+_ODD_BASE = "acc AS (SELECT CAST(c_custkey AS DOUBLE) AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer)"
+script("quoted_name_update", "customer", [_ODD, _ODD_FILL, 'UPDATE "my table" SET balance = 0 WHERE id < 50', 'DELETE FROM "my table" WHERE id = 7'], 'SELECT id, segment, balance FROM "my table"',
+  f"WITH {_ODD_BASE} SELECT id, segment, CASE WHEN id < 50 THEN 0 ELSE balance END AS balance FROM acc WHERE id <> 7")
+script("quoted_name_upsert_merge", "customer", [_ODD, _ODD_FILL, "INSERT INTO \"my table\" (id, segment, balance) VALUES (1, 'x', 5), (-1, 'y', 6) ON CONFLICT (id) DO UPDATE SET segment = EXCLUDED.segment",
+  'MERGE INTO "my table" t USING (VALUES (2, 9), (-2, 8)) s(k, v) ON t.id = s.k WHEN MATCHED THEN UPDATE SET balance = s.v WHEN NOT MATCHED THEN INSERT (id, balance) VALUES (s.k, s.v)'], 'SELECT id, segment, balance FROM "my table"',
+  f"WITH {_ODD_BASE} SELECT id, CASE WHEN id = 1 THEN 'x' ELSE segment END AS segment, CASE WHEN id = 2 THEN 9 ELSE balance END AS balance FROM acc UNION ALL SELECT -1, 'y', 6 UNION ALL SELECT -2, NULL, 8")
+script("key_lookup", "customer", [ACC, FILL, "INSERT INTO acc (id, note) VALUES (-5, 'low')"], "SELECT id, note FROM acc WHERE id = 77 OR id IS NULL UNION ALL SELECT id, note FROM acc WHERE id IN (-5, 3, 1e9)",
+  "SELECT CAST(c_custkey AS DOUBLE) AS id, 'none' AS note FROM customer WHERE c_custkey IN (3, 77) UNION ALL SELECT -5, 'low'")
+script("key_ranges", "customer", [ACC, FILL, "INSERT INTO acc (id, note) VALUES (-5, 'low')", "UPDATE acc SET note = 'mid' WHERE id BETWEEN 10 AND 20 AND balance IS NOT NULL"], "SELECT id, note FROM acc WHERE id >= -5 AND 30 > id",
+  "SELECT CAST(c_custkey AS DOUBLE) AS id, CASE WHEN c_custkey BETWEEN 10 AND 20 THEN 'mid' ELSE 'none' END AS note FROM customer WHERE c_custkey < 30 UNION ALL SELECT -5, 'low'")
+script("count_star", "customer", [ACC, FILL, "DELETE FROM acc WHERE id % 3 = 0", "INSERT INTO acc (id) VALUES (-1), (-2)"], "SELECT COUNT(*) AS n FROM acc", "SELECT COUNT(*) + 2 AS n FROM customer WHERE c_custkey % 3 <> 0")
+script("filtered_then_read", "customer", [ACC, FILL, "UPDATE acc SET balance = -1 WHERE segment = 'BUILDING'", "DELETE FROM acc WHERE segment = 'MACHINERY'"], "SELECT segment, COUNT(*) AS n, ROUND(SUM(balance), 2) AS s FROM acc WHERE balance < 5000 GROUP BY segment",
+  f"WITH {BASE}, b AS (SELECT segment, CASE WHEN segment = 'BUILDING' THEN -1 ELSE balance END AS balance FROM acc WHERE segment <> 'MACHINERY') SELECT segment, COUNT(*) AS n, ROUND(SUM(balance), 2) AS s FROM b WHERE balance < 5000 GROUP BY segment")
+script("dropped_and_made_again", "customer", [ACC, FILL, "DROP TABLE acc", "DROP TABLE IF EXISTS acc", ACC, "INSERT INTO acc (id, balance) VALUES (1, 2)"], "SELECT id, balance, note FROM acc", "SELECT CAST(1 AS DOUBLE) AS id, CAST(2 AS DOUBLE) AS balance, 'none' AS note")
+
+
+def _codes(s: Session, statements: list[str]) -> DataFrame:
+    """What each statement fails with; 'done' if it doesn't."""
+    out = []
+    for i, text in enumerate(statements):
+        try:
+            s.execute(text)
+            out.append((i, "done"))
+        except ConstraintError as e:
+            out.append((i, e.code))
+    return s.spark.createDataFrame(out, "statement int, outcome string")
+
+
+@made("SELECT * FROM (VALUES (0, 'check'), (1, 'done'), (2, 'null'), (3, 'check'), (4, 'done')) v(statement, outcome)")
+def check_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = database(spark, sf_dir)
+    s.execute(ACC)
+    return _codes(s, ["INSERT INTO acc (id, balance) VALUES (1, -2000000)", "INSERT INTO acc (id, balance) VALUES (1, NULL)", "INSERT INTO acc (id, note) VALUES (2, NULL)", "UPDATE acc SET balance = -1000000", "UPDATE acc SET balance = -999999"])
+
+
+@made("SELECT * FROM (VALUES (0, 'done'), (1, 'unique'), (2, 'unique'), (3, 'unique'), (4, 'done'), (5, 'null')) v(statement, outcome)")
+def uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = database(spark, sf_dir)
+    s.execute(ACC)
+    return _codes(s, ["INSERT INTO acc (id) VALUES (1), (2)", "INSERT INTO acc (id) VALUES (3), (1)", "INSERT INTO acc (id) VALUES (4), (4)", "UPDATE acc SET id = 2", "UPDATE acc SET id = 9 WHERE id = 2", "INSERT INTO acc (note) VALUES ('x')"])
+
+
+@made("SELECT * FROM (VALUES ('a count reads no file', TRUE), ('a key opens one file', TRUE), ('a range opens the files it meets', TRUE), ('a table sorted by key is narrowed in its file', TRUE)) v(fact, holds)")
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans over a table of several files."""
+    s = database(spark, sf_dir, "customer")
+    s.execute(ACC)
+    third = s.sql("SELECT COUNT(*) AS n FROM customer").first().n // 3
+    for low in (0, third, 2 * third):
+        s.execute(f"INSERT INTO acc (id, segment) SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey > {low} AND c_custkey <= {low + third}")
+    files = lambda where: len(s.sql(f"SELECT segment FROM acc WHERE {where}").inputFiles())
+    facts = {
+        "a count reads no file": "parquet" not in s.explain("SELECT COUNT(*) AS n FROM acc").lower(),
+        "a key opens one file": files(f"id = {third + 5}") == 1 < files("segment = 'BUILDING'"),
+        "a range opens the files it meets": files(f"id BETWEEN {third - 5} AND {third + 5}") == 2,
+        "a table sorted by key is narrowed in its file": "GreaterThanOrEqual" in s.explain("SELECT segment FROM acc WHERE id >= 450"),
+    }
+    return s.spark.createDataFrame(list(facts.items()), "fact string, holds boolean")
+
+
+@made("SELECT 0 AS step, COUNT(*) AS n FROM customer UNION ALL SELECT 1, COUNT(*) FROM customer WHERE c_custkey >= 200")
+def live_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slow reader of results: of two changes it gets the later one."""
+    s = database(spark, sf_dir, "customer")
+    s.execute(ACC), s.execute(FILL)
+    live = subscribe(s, "SELECT COUNT(*) AS n FROM acc")
+    results = live.results(every=0.05, timeout=5)
+    seen = [next(results)]
+    s.execute("DELETE FROM acc WHERE id < 100"), s.execute("DELETE FROM acc WHERE id < 200")
+    seen.append(next(results))
+    live.close()
+    return seen[0].select(F.lit(0).alias("step"), "n").unionByName(seen[1].select(F.lit(1).alias("step"), "n"))
+
+
+@made("SELECT CAST(event_id AS DOUBLE) AS id, value FROM events")
+def stream_started_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose checkpoint is lost after its commits: the batches come again, and are left out."""
+    s = database(spark, sf_dir)
+    s.execute("CREATE TABLE e (id INT, value DOUBLE PRECISION)")
+    s.spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), "value").coalesce(1).write.parquet(f"{s.store.root}/_in")
+    batch = s.spark.read.schema("id long, value double").parquet(f"{s.store.root}/_in")
+    for number in (0, 0):
+        s.append_batch("e", batch, "a stream", number)
+    return s.sql("SELECT id, value FROM e")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f"table_{n}": f for n, (f, _) in T.items()}
 

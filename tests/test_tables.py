@@ -1,6 +1,7 @@
 """Versioned tables: changes, constraints, triggers, transactions, snapshots."""
 
 import random
+import time
 
 import pytest
 
@@ -280,3 +281,115 @@ def test_write_is_repeated_as_a_whole(spark, items):
 
     items.write(body)
     assert len(runs) == 2 and rows(items, "SELECT id, amount FROM items") == [(100.0, 13.0), (2.0, 6.0), (3.0, 7.0)]
+
+
+@pytest.mark.parametrize("name", ['"my table"', '"a/b%20c"', '"Größe +1"', '"_versions"'])
+def test_tables_of_any_name(db, name):
+    db.execute(f"CREATE TABLE {name} (id INT PRIMARY KEY, v TEXT)")
+    db.execute(f"CREATE TABLE child (id INT PRIMARY KEY, p INT, FOREIGN KEY (p) REFERENCES {name}(id) ON DELETE CASCADE)")
+    db.execute(f"INSERT INTO {name} (id, v) VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')")
+    db.execute("INSERT INTO child (id, p) VALUES (1, 1), (2, 2), (3, 4)")
+    assert db.execute(f"UPDATE {name} SET v = 'x' WHERE id = 1").count == 1
+    assert db.execute(f"DELETE FROM {name} WHERE id = 2").count == 1
+    db.execute(f"INSERT INTO {name} (id, v) VALUES (3, 'y'), (5, 'z') ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v")
+    db.execute(f"MERGE INTO {name} t USING (VALUES (4, 'm'), (6, 'n')) s(k, w) ON t.id = s.k WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.k, s.w)")
+    assert rows(db, f"SELECT id, v FROM {name}") == [(1.0, "x"), (3.0, "y"), (5.0, "z"), (6.0, "n")]
+    assert rows(db, "SELECT id FROM child") == [(1.0,)]
+    db.store.vacuum()
+    assert rows(db, f"SELECT COUNT(*) AS n FROM {name}") == [(4,)]
+
+
+def test_a_file_that_isnt_in_the_manifest_is_an_error(items):
+    with pytest.raises(ValueError, match="manifest"):
+        items.store.split(items.state()["tables"]["items"], ["items/d-0/part"])
+
+
+def opened(df):
+    return {f.rpartition("/")[2] for f in df.inputFiles()}
+
+
+def test_counts_and_files_by_manifest(db):
+    """Each insert is a file; keys of a file are a range."""
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v TEXT)")
+    for k in range(5):
+        db.insert_frame("t", db.spark.range(k * 100, k * 100 + 100, 1, 1).selectExpr("CAST(id AS DOUBLE) AS id", "CAST(id AS STRING) AS v"))
+    t = db.state()["tables"]["t"]
+    assert [(f["rows"], f["low"], f["high"]) for f in db.store.files(t)] == [(100, k * 100.0, k * 100.0 + 99) for k in range(5)]
+    assert "LogicalRDD" not in (plan := db.explain("SELECT COUNT(*) AS n FROM t")) and "parquet" not in plan.lower()
+    assert rows(db, "SELECT COUNT(*) AS n FROM t") == [(500,)]
+    for where, n, files in [("id = 150", 1, 1), ("id BETWEEN 90 AND 110", 21, 2), ("t.id > 395 AND v <> 'x'", 104, 2), ("id IN (5, 450, 9999)", 2, 2), ("NOT id = 5", 499, 5), ("id = 5 OR v = '7'", 2, 5), ("450.5 <= id", 49, 1), ("id = -1", 0, 0)]:
+        df = db.sql(f"SELECT id FROM t WHERE {where}")
+        assert (df.count(), len(opened(df))) == (n, files), where
+    assert len(opened(db.sql("SELECT id FROM t WHERE id = ?", [7]))) == 1
+    assert len(opened(db.sql("SELECT a.id FROM t a LEFT JOIN t b ON a.v = b.v WHERE b.id < 100"))) == 5
+    before = {f["path"] for f in db.store.files(t)}
+    assert db.execute("UPDATE t SET v = 'new' WHERE id = 250").count == 1
+    after = {f["path"] for f in db.store.files(db.state()["tables"]["t"])}
+    assert len(before - after) == 1 and len(after - before) == 1
+    db.execute("CREATE TABLE s (id TEXT PRIMARY KEY, at TIMESTAMP)")
+    db.execute("INSERT INTO s (id) VALUES ('b'), ('c')"), db.execute("INSERT INTO s (id) VALUES ('e')")
+    assert len(opened(db.sql("SELECT id FROM s WHERE id >= 'd'"))) == 1
+
+
+def test_compaction_takes_runs(db):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY)")
+    frame = lambda a, b: db.spark.range(a, b, 1, 1).selectExpr("CAST(id AS DOUBLE) AS id")
+    db.insert_frame("t", frame(0, 1000)), db.insert_frame("t", frame(2000, 2010)), db.insert_frame("t", frame(2010, 2020)), db.insert_frame("t", frame(1500, 1510))
+    large = db.store.files(db.state()["tables"]["t"])[0]["path"]
+    with db.transaction():
+        assert db.work.compact("t", 1000) == 3
+    files = db.store.files(db.state()["tables"]["t"])
+    assert large in {f["path"] for f in files} and len(files) == 2 and rows(db, "SELECT COUNT(*) AS n FROM t") == [(1030,)]
+    db.insert_frame("t", frame(5000, 5010)), db.insert_frame("t", frame(5010, 5020)), db.insert_frame("t", frame(-500, -490))
+    with db.transaction():
+        db.work.compact("t", 1000)
+        assert db.work.compact("t", 1000) == 0
+
+
+def test_idle_transactions_are_rolled_back(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "idle"), idle_seconds=0.5)
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY)")
+    s.execute("BEGIN"), s.execute("INSERT INTO t (id) VALUES (1)")
+    time.sleep(1.5)
+    with pytest.raises(SqlError, match="idle"):
+        s.execute("INSERT INTO t (id) VALUES (2)")
+    assert rows(s, "SELECT COUNT(*) AS n FROM t") == [(0,)]
+    s.execute("BEGIN"), s.execute("INSERT INTO t (id) VALUES (3)"), s.execute("COMMIT")
+    time.sleep(1)
+    assert rows(s, "SELECT id FROM t") == [(3.0,)]
+
+
+def test_the_writers_timer(items):
+    w = BufferedWriter(items, "items", max_age=0.3)
+    w.add({"id": 50.0, "amount": 1.0})
+    for _ in range(100):
+        if rows(items, "SELECT id FROM items WHERE id = 50"):
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError("nothing was committed")
+    w.add({"id": 50.0, "amount": 1.0})  # a duplicate: the timer's commit fails, the row is held
+    for _ in range(100):
+        if w.error:
+            break
+        time.sleep(0.2)
+    with pytest.raises(ConstraintError):
+        w.flush()
+    assert len(w.rows) == 1
+    w.discard(), w.close()
+
+
+def test_polling_leaves_the_session_alone(items):
+    live = subscribe(items, "SELECT COUNT(*) AS n FROM items")
+    with items.snapshot():
+        items.another().execute("DELETE FROM items WHERE id = 1")
+        assert live.poll() and items.at_version is not None
+        assert rows(items, "SELECT COUNT(*) AS n FROM items") == [(3,)]
+    assert live.session is not items and [r.n for r in live.latest.collect()] == [2]
+
+
+def test_a_batch_that_comes_again_is_left_out(items):
+    batch = items.spark.createDataFrame([(70.0, 1.0)], "id double, amount double")
+    assert items.append_batch("items", batch, "stream", 0)
+    assert not items.append_batch("items", batch, "stream", 0)
+    assert rows(items, "SELECT COUNT(*) AS n FROM items WHERE id = 70") == [(1,)]
