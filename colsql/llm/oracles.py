@@ -28,11 +28,16 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 def _spotsigs(words: str) -> str:
     """The signatures of a list of words, as in .spotsigs."""
-    anchors = "[" + ", ".join(f"'{a}'" for a in dict.fromkeys(spotsigs.ANCHORS)) + "]"
-    content = f"list_filter({words}[i + 1:i + {spotsigs.REACH}], lambda x: NOT list_contains({anchors}, x))"
-    chains = f"list_transform(list_filter(range(1, len({words}) + 1), lambda i: list_contains({anchors}, {words}[i]) AND len({content}) > 0), lambda i: left(md5({words}[i] || ' ' || array_to_string(({content})[1:{spotsigs.CHAIN}], ' ')), 8))"
+    listed = "[" + ", ".join(f"'{a}'" for a in dict.fromkeys(spotsigs.ANCHORS)) + "]"
+    spots = "[" + ", ".join(f"'{x}'" for x in spotsigs.SPOTS) + "]"
+
+    def chains(is_anchor) -> str:
+        content = f"list_filter({words}[i + 1:i + {spotsigs.REACH}], lambda x: NOT {is_anchor('x')})"
+        return f"list_transform(list_filter(range(1, len({words}) + 1), lambda i: {is_anchor(f'{words}[i]')} AND len({content}) > 0), lambda i: left(md5({words}[i] || ' ' || array_to_string(({content})[1:{spotsigs.CHAIN}], ' ')), 8))"
+
+    own, other = chains(lambda w: f"list_contains({listed}, {w})"), chains(lambda w: f"list_contains({spots}, left(md5({w}), 1))")
     whole = f"[left(md5(array_to_string(list_concat([''], {words}), ' ')), 8)]"
-    return f"(CASE WHEN len({chains}) > 0 THEN list_sort(list_distinct({chains})) ELSE {whole} END)"
+    return f"(CASE WHEN len({own}) > 0 THEN list_sort(list_distinct({own})) WHEN len({other}) > 0 THEN list_sort(list_distinct({other})) ELSE {whole} END)"
 
 
 def _jaccard(a: str, b: str) -> str:

@@ -16,6 +16,8 @@ ANCHORS = (
     "le la les un une des de du et est que qui dans pour en au avec sur pas "
     "el los las una y se no por con para lo es del al su"
 ).split()
+#: First hex digits of the MD5 of words that are anchors where no word is one of those: an eighth of all.
+SPOTS = ("0", "1")
 #: Content words in a chain, and the words after an anchor among which they are looked for.
 CHAIN, REACH = 2, 6
 
@@ -30,23 +32,36 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, r
     """The ascending distinct hashes (8 hex digits, of MD5) of a text's spot signatures: an anchor and the next content words
     after it, joined by spaces.
 
-    A text without a signature has one of its words as a whole, a space before each, so that equal texts are alike and
-    others aren't.
+    In a text without such a signature, one of another language, words whose own MD5 begins with one of SPOTS are the anchors. A
+    text without a signature by these, too, has one of its words as a whole, a space before each, so that equal texts are alike
+    and others aren't.
     """
 
     def digest(parts: Column) -> Column:
         return F.substring(F.md5(F.concat_ws(" ", parts).cast("binary")), 1, 8)
 
-    def of(w: Column, i: Column, all_words: Column) -> Column:
-        content = F.filter(F.slice(all_words, i + 2, reach), lambda x: ~x.isin(anchors))
-        found = F.slice(content, 1, chain)
-        return F.when(w.isin(anchors) & (F.size(content) > 0), digest(F.concat(F.array(w), found)))
+    def sigs(ws: Column, is_anchor: Callable[[Column], Column]) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            found = F.slice(F.filter(F.slice(ws, i + 2, reach), lambda x: ~is_anchor(x)), 1, chain)
+            return F.when(is_anchor(w) & (F.size(found) > 0), digest(F.concat(F.array(w), found)))
 
-    def sigs(all_words: Column) -> Column:
-        return F.array_distinct(F.array_compact(F.transform(all_words, lambda w, i: of(w, i, all_words))))
+        return F.array_distinct(F.array_compact(F.transform(ws, of)))
 
-    bound = F.transform(F.array(words(text)), lambda ws: F.struct(sigs(ws).alias("s"), ws.alias("w")))[0]
-    return F.transform(F.array(bound), lambda b: F.when(F.size(b["s"]) > 0, F.sort_array(b["s"])).otherwise(F.array(digest(F.concat(F.array(F.lit("")), b["w"])))))[0]
+    def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f of a value that is computed once."""
+        return F.transform(F.array(value), f)[0]
+
+    listed: Callable[[Column], Column] = lambda w: w.isin(anchors)
+    hashed: Callable[[Column], Column] = lambda w: F.substring(F.md5(w.cast("binary")), 1, 1).isin(*SPOTS)
+
+    def or_else(s: Column, other: Callable[[], Column]) -> Column:
+        return F.when(F.size(s) > 0, F.sort_array(s)).otherwise(other())
+
+    def all_of(ws: Column) -> Column:
+        whole = lambda: F.array(digest(F.concat(F.array(F.lit("")), ws)))
+        return bound(sigs(ws, listed), lambda s: or_else(s, lambda: bound(sigs(ws, hashed), lambda t: or_else(t, whole))))
+
+    return bound(words(text), all_of)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -66,47 +81,77 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.least(n, m) < F.greatest(n, m) * F.lit(least), F.lit(0.0)).otherwise(shared / (n + m - shared))
 
 
-#: Ranges of equal width whose rows are counted, and buckets at most; fixed, whatever the number of rows.
-CELLS, BUCKETS = 65_536, 16_384
+#: Buckets at most, whatever the number of rows.
+BUCKETS = 16_384
+
+
+class Buckets:
+    """Ranges of a key by its quantiles, dense numbers from 0 in order, none empty: of about rows rows each, or more if there would be over
+    BUCKETS. A key with rows of more than one range is dealt by a hash, so that no bucket is much larger than the others."""
+
+    def __init__(self, rows: DataFrame, key: str, hash_: Column, per: int) -> None:
+        """rows: a table whose column key is never null; hash_: a long of it, evenly spread."""
+        n = rows.count()
+        parts = min(BUCKETS, -(-n // per))
+        shares = [i / parts for i in range(1, parts)]
+        found = rows.agg(F.percentile_approx(key, shares, 10 * parts).alias("q")).first().q if shares else []
+        self.key, self.bounds = F.col(key), sorted(set(found or []))
+        self.times = [found.count(b) for b in self.bounds]
+        self.hash = hash_ if any(t > 1 for t in self.times) else F.lit(0).cast("long")  # else not read
+        self.starts, at = [], 1
+        for t in self.times:
+            self.starts.append(at)
+            at += t + 1
+        present = sorted(r.b for r in rows.groupBy(self._sparse().alias("b")).count().collect())
+        self.dense = [0] * at
+        for i, b in enumerate(present):
+            self.dense[b] = i
+        self.n = len(present)
+
+    def _sparse(self) -> Column:
+        """By binary search: 0 below all bounds; then for each bound as many numbers as it occurs, for keys equal to it if it occurs
+        more than once, and one for those above."""
+        if not self.bounds:
+            return F.lit(0)
+        bounds, starts, times = (F.lit(x) for x in (self.bounds, self.starts, self.times))
+        steps = [1 << i for i in range(len(self.bounds).bit_length() - 1, -1, -1)]
+
+        def step(at: Column, width: Column) -> Column:
+            to = at + width
+            return F.when((to < len(self.bounds)) & (F.get(bounds, to) <= self.key), to).otherwise(at)
+
+        place = F.aggregate(F.lit(steps), F.lit(-1), step)
+        unit = F.shiftrightunsigned(self.hash, 11).cast("double") / F.lit(float(1 << 53))
+
+        def number(i: Column) -> Column:
+            own = F.floor((F.when(unit < 0.5, unit + 0.5).otherwise(unit - 0.5)) * F.get(times, i)).cast("int")  # in the order of signed hashes
+            return F.when(i < 0, F.lit(0)).otherwise(F.get(starts, i) + F.when((F.get(bounds, i) == self.key) & (F.get(times, i) > 1), own).otherwise(F.get(times, i)))
 
+        return F.transform(F.array(place), number)[0].cast("int")
 
-def buckets(docs: DataFrame, key: str, rows: int) -> tuple[Column, int]:
-    """A bucket of neighbouring keys for each row, and how many there are, none empty: of about rows rows, or more if there
-    would be over BUCKETS. From counts of CELLS equal ranges of the key, which is never null."""
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count("*")).first()
-    rows = max(rows, n // BUCKETS + 1)
-    if n <= rows:
-        return F.lit(0), 1
-    cell = F.least(F.floor((F.col(key).cast("double") - float(low)) / (float(high) - float(low) + 1) * CELLS), F.lit(CELLS - 1)).cast("int")
-    counts = dict(docs.groupBy(cell.alias("c")).count().collect())
-    of, b, held = [], 0, 0
-    for c in range(CELLS):
-        k = counts.get(c, 0)
-        if k and held and held + k > rows:
-            b, held = b + 1, 0
-        held += k
-        of.append(b)
-    return F.element_at(F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>"), cell + 1), b + 1
+    def of(self) -> Column:
+        return F.get(F.lit(self.dense), self._sparse()) if self.bounds else F.lit(0)
 
 
-def with_next(docs: DataFrame, key: str, values: list[str], rows: int = 4000, **derived: Callable[[Column], Column]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, values: list[str], rows: int = 1000, **derived: Callable[[Column], Column]) -> DataFrame:
     """docs with a struct `next` of the values of the row's successor by key (after the last: the first); rows with equal
-    keys follow one another by values. A null key comes first. derived: more columns of a row and of `next`, each made once a
-    row from the struct of values.
+    keys follow one another in some order that their values determine. A null key comes first. derived: more columns of a row and of `next`, each
+    made once a row from the struct of values.
 
     Rows move once, to a bucket of neighbouring keys; only the first row of each bucket moves again, to the bucket before.
     """
     keyed = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    bucket, n = buckets(keyed.select("_k"), "_k", rows)
-    keyed = keyed.withColumn("_b", bucket)
-    low = F.broadcast(keyed.groupBy("_b").agg(F.min("_k").alias("_k")))  # at most BUCKETS rows
-    first = keyed.join(low, ["_b", "_k"], "left_semi").groupBy("_b").agg(F.min(F.struct(*values)).alias("_own"))
+    buckets = Buckets(keyed, "_k", F.xxhash64(*values), rows)
+    keyed = keyed.withColumn("_h", buckets.hash).withColumn("_b", buckets.of())
+    low = F.broadcast(keyed.groupBy("_b").agg(F.min(F.struct("_k", "_h")).alias("_l")).select("_b", "_l._k", "_l._h"))  # a row for each bucket: BUCKETS, twice at most
+    first = keyed.join(low, ["_b", "_k", "_h"], "left_semi").groupBy("_b").agg(F.min(F.struct("_k", "_h", *values)).alias("_own"))
+    own = F.struct(*(F.col("_own")[v].alias(v) for v in values)).alias("_own")
     others = [f for f in docs.schema.fields if f.name not in values]
-    heads = first.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in others), F.lit(None).cast("long").alias("_k"), F.pmod(F.col("_b") - 1, F.lit(n)).alias("_b"), "_own", F.lit(True).alias("_last"))
-    both = keyed.select(*(f.name for f in others), "_k", "_b", F.struct(*values).alias("_own"), F.lit(False).alias("_last")).unionByName(heads)
-    if derived:
+    heads = first.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in others), F.lit(None).cast("long").alias("_k"), F.lit(None).cast("long").alias("_h"), F.pmod(F.col("_b") - 1, F.lit(max(1, buckets.n))).alias("_b"), own, F.lit(True).alias("_last"))
+    both = keyed.select(*(f.name for f in others), "_k", "_h", "_b", F.struct(*values).alias("_own"), F.lit(False).alias("_last")).unionByName(heads).repartition("_b")
+    if derived:  # after the rows have moved: what is derived doesn't move
         both = both.withColumn("_own", F.struct("_own.*", *(f(F.col("_own")).alias(c) for c, f in derived.items())))
-    w = Window.partitionBy("_b").orderBy("_last", "_k", *(f"_own.{v}" for v in values))
+    w = Window.partitionBy("_b").orderBy("_last", "_k", "_h", *(f"_own.{v}" for v in values))
     own = [F.col("_own")[c].alias(c) if c in values else F.col(c) for c in docs.columns]
     return both.withColumn("next", F.lead("_own").over(w)).where(~F.col("_last")).select(*own, *(F.col("_own")[c].alias(c) for c in derived), "next")
 
