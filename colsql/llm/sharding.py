@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import drop, written
+from .common import Written, drop, written
 
-#: Bins of a histogram; times a median's bin is divided again; dealt-out parts of a shard in which slots are counted.
-BINS, ROUNDS, PARTS = 1024, 4, 64
-#: What a median may be off, as a share of all bytes.
-TOLERANCE = 2e-5
+#: Bins of a histogram; times a median's bin is divided again.
+BINS, ROUNDS = 1024, 4
+#: Parts of a shard in which slots are counted: so many, or more if they would have more rows.
+PARTS, PART_ROWS = 64, 1_000_000
+#: What a median may be off, as a share of a shard's bytes.
+TOLERANCE = 3e-4
 #: Points with more than this share of a shard, and of all bytes, are placed one by one on the driver: they are fewer than MOST_HEAVY.
 HEAVY, MOST_HEAVY = 1 / 64, 4096
 
@@ -80,27 +82,54 @@ def point_of(big: list[int]) -> Column:
 DIMS = ("d0", "d1", "d2", "d3")
 
 
-def _of(node: Node, number: dict[int, int]) -> Column:
-    """The number of the box that a row is in, as nested conditions along the tree; null for boxes without a number."""
-    if node.left is None:
-        return F.lit(number.get(id(node)))
-    d = F.col(DIMS[node.dim])
-    left = (d < node.value) | ((d == node.value) & (F.col("tie") < node.tie))
-    return F.when(left, _of(node.left, number)).otherwise(_of(node.right, number))
-
-
 def _leaves(node: Node) -> list[Node]:
-    return [node] if node.left is None else [*_leaves(node.left), *_leaves(node.right)]
-
-
-def _split(points: DataFrame, root: Node, boxes: list[Node]) -> None:
-    """Splits each box at the weighted median of its widest dimension. Each round is one aggregation of at most BINS sums a box,
-    whatever the number of rows: a histogram of the bin that the median is in, then of the tie-break, until it is exact enough."""
-    box = _of(root, {id(b): i for i, b in enumerate(boxes)})
-    boxed = points.withColumn("box", box).where("box is not null")
-    ends = {r.box: r for r in boxed.groupBy("box").agg(*(f(d).alias(f"{d}{n}") for d in DIMS for n, f in (("l", F.min), ("h", F.max)))).collect()}
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if x.left is None:
+            out.append(x)
+        else:
+            todo += [x.right, x.left]
+    return out
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from a literal of the plan."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ':') for x in schema.split(', '))}>>")))
+
+
+def _table(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for each box: no more than there are shards, so each task can have them."""
+    return F.broadcast(_rows(points.sparkSession, rows, schema))
+
+
+STATE = "box long, dim int, stage int, low double, high double, at double, need double"
+
+
+def _crossings(boxed: DataFrame, state: dict[int, dict], boxes: dict[int, Node]) -> dict[int, Row]:
+    """A row for each box, whatever the number of points: of BINS equal parts of what is open, the one in which the sum of weights
+    reaches what the box needs, or the last: the sum before it, its weight, its least and greatest value, and the next one."""
+    rows = [(i, boxes[i].dim, s["stage"], s["low"], s["high"], s["at"], float(s["aim"] - s["below"])) for i, s in state.items()]
+    d = F.get(F.array(*DIMS), F.col("dim"))
+    v = F.when(F.col("stage") == 0, d).when(d == F.col("at"), F.col("tie"))
+    inside = boxed.join(_table(boxed, rows, STATE), "box").withColumn("v", v).where("v >= low and v <= high")
+    bin_ = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1)).cast("int")
+    hist = inside.groupBy("box", bin_.alias("bin")).agg(F.sum("weight").alias("w"), F.min("v").alias("l"), F.max("v").alias("h"), F.first("need").alias("need"))
+    w = Window.partitionBy("box").orderBy("bin")
+    before = F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = hist.select("box", "w", "l", "h", "need", before.alias("before"), F.lead("l").over(w).alias("next"), F.row_number().over(w).alias("at"))
+    reached = ((F.col("before") + F.col("w") >= F.col("need")) | F.col("next").isNull()) & ((F.col("at") == 1) | (F.col("before") < F.col("need")))
+    return {r.box: r for r in each.where(reached).collect()}
+
+
+def _split(boxed: DataFrame, boxes: dict[int, Node], tolerance: float) -> None:
+    """Splits each box at the weighted median of its widest dimension: the bin that the median is in is divided again, then the
+    tie-break, until it is exact enough. Each round is one aggregation for all boxes."""
+    ends = {r.box: r for r in boxed.join(_table(boxed, [(i,) for i in boxes], "box long"), "box").groupBy("box").agg(*(f(d).alias(f"{d}{n}") for d in DIMS for n, f in (("l", F.min), ("h", F.max)))).collect()}
     state = {}
-    for i, b in enumerate(boxes):
+    for i, b in boxes.items():
         r = ends.get(i)
         b.left, b.right = Node(b.leaves // 2, 0), Node(b.leaves - b.leaves // 2, 0)
         spread = [max(x) - min(x) if (x := [*([r[f"{d}l"], r[f"{d}h"]] if r else []), *(h[d] for h in b.heavy)]) else 0.0 for d in DIMS]
@@ -110,52 +139,33 @@ def _split(points: DataFrame, root: Node, boxes: list[Node]) -> None:
         # stage 0: by value in [low, high]; stage 1: by tie-break in [low, high], at one value
         state[i] = {"stage": 0 if high > low else 1, "low": low if high > low else 0.0, "high": high if high > low else 1.0, "at": low, "below": 0, "rounds": 0, "aim": aim}
         b.value, b.tie = low, 0.0
-    total = max(1, root.bytes)
     while state:
-
-        def pick(f: Callable[[int, dict], Column]) -> Column:
-            out = F.lit(None).cast("double")
-            for i, s in state.items():
-                out = F.when(F.col("box") == i, f(i, s)).otherwise(out)
-            return out
-
-        value = pick(lambda i, s: F.col(DIMS[boxes[i].dim]) if s["stage"] == 0 else F.when(F.col(DIMS[boxes[i].dim]) == s["at"], F.col("tie")))
-        low, high = pick(lambda i, s: F.lit(s["low"])), pick(lambda i, s: F.lit(s["high"]))
-        inside = boxed.where(F.col("box").isin(list(state))).select("box", "weight", value.alias("v"), low.alias("l"), high.alias("h")).where("v >= l and v <= h")
-        bin_ = F.least(F.floor((F.col("v") - F.col("l")) / (F.col("h") - F.col("l")) * BINS), F.lit(BINS - 1)).cast("int")
-        found: dict[int, list] = {i: [] for i in state}
-        for r in inside.groupBy("box", bin_.alias("bin")).agg(F.sum("weight").alias("w"), F.min("v").alias("l"), F.max("v").alias("h")).collect():
-            found[r.box].append((r.bin, r.w, r.l, r.h))
+        found = _crossings(boxed, state, boxes)
         for i, s in list(state.items()):
-            b, below = boxes[i], s["below"]
-            bins = sorted(found[i])
-            for k, (_, w, l, h) in enumerate(bins):
-                if below + w >= s["aim"] or k == len(bins) - 1:
-                    break
-                below += w
-            else:
+            b, r = boxes[i], found.get(i)
+            if r is None:  # no point
                 del state[i]
                 continue
             s["rounds"] += 1
-            before, after = s["aim"] - below, below + w - s["aim"]  # what is missing if the cut is before this bin, or too much if after
-            done = min(before, after) <= TOLERANCE * total or s["rounds"] >= ROUNDS and s["stage"] == 1
-            nxt = bins[k + 1][2] if k + 1 < len(bins) else None
+            below = s["below"] + r.before
+            before, after = s["aim"] - below, below + r.w - s["aim"]  # what is missing if the cut is before this bin, or too much if after
+            done = min(before, after) <= tolerance or s["rounds"] >= ROUNDS and s["stage"] == 1
             if s["stage"] == 0:
-                if done and (before <= after or nxt is not None):
-                    b.value, b.tie = (l, 0.0) if before <= after else (nxt, 0.0)
+                if done and (before <= after or r.next is not None):
+                    b.value, b.tie = (r.l, 0.0) if before <= after else (r.next, 0.0)
                     del state[i]
-                elif h > l and s["rounds"] < 2 * ROUNDS:
-                    s |= {"low": l, "high": h, "below": below}
+                elif r.h > r.l and s["rounds"] < 2 * ROUNDS:
+                    s |= {"low": r.l, "high": r.h, "below": below}
                 else:
-                    b.value = l
-                    s |= {"stage": 1, "at": l, "low": 0.0, "high": 1.0, "below": below, "rounds": 0}
+                    b.value = r.l
+                    s |= {"stage": 1, "at": r.l, "low": 0.0, "high": 1.0, "below": below, "rounds": 0}
             else:
                 b.value = s["at"]
-                if done or h <= l:
-                    b.tie = l if before <= after else (h + 2.0**-53 if nxt is None else nxt)
+                if done or r.h <= r.l:
+                    b.tie = r.l if before <= after else (r.h + 2.0**-53 if r.next is None else r.next)
                     del state[i]
                 else:
-                    s |= {"low": l, "high": h, "below": below}
+                    s |= {"low": r.l, "high": r.h, "below": below}
 
 
 def _deal(b: Node) -> int:
@@ -170,18 +180,36 @@ def _deal(b: Node) -> int:
     return left
 
 
-def tree(light: DataFrame, heavy: list[Row], total: int, shards: int) -> Node:
-    """Splits boxes in two until there are as many leaves as shards, each with an equal part of all bytes."""
+def tree(light: DataFrame, heavy: list[Row], total: int, shards: int) -> tuple[Node, Written]:
+    """Splits boxes in two until there are as many leaves as shards, each with an equal part of all bytes. The tree, and
+    (point, shard) of the light points.
+
+    Points carry the number of their box; each level joins them with the splits, a row for each box, so plans are as short
+    for thousands of shards as for two. Levels are as many as the logarithm of shards.
+    """
     root = Node(shards, total, heavy=heavy)
-    while boxes := [x for x in _leaves(root) if x.leaves > 1]:
-        _split(light, root, boxes)
-        leaves = _leaves(root)
-        held = dict(light.groupBy(_of(root, {id(b): i for i, b in enumerate(leaves)}).alias("box")).agg(F.sum("weight")).collect())
-        for i, b in enumerate(leaves):
+    boxes = {0: root}  # by number: a box's halves are 2 * number + 1 and + 2
+    boxed = written(light.withColumn("box", F.lit(0).cast("long")))
+    while open_ := {i: b for i, b in boxes.items() if b.leaves > 1}:
+        _split(boxed, open_, TOLERANCE * total / shards)
+        splits = _table(boxed, [(i, b.dim, b.value, b.tie) for i, b in open_.items()], "box long, dim int, value double, cut double")
+        d = F.get(F.array(*DIMS), F.col("dim"))
+        side = F.when(F.col("dim").isNull(), F.col("box")).when((d < F.col("value")) | ((d == F.col("value")) & (F.col("tie") < F.col("cut"))), 2 * F.col("box") + 1).otherwise(2 * F.col("box") + 2)
+        after = written(boxed.join(splits, "box", "left").select("point", "weight", *DIMS, "tie", side.alias("box")))
+        drop(boxed)
+        boxed = after
+        for i, b in open_.items():
+            del boxes[i]
+            boxes[2 * i + 1], boxes[2 * i + 2] = b.left, b.right
+        held = dict(boxed.groupBy("box").agg(F.sum("weight")).collect())
+        for i, b in boxes.items():
             b.bytes = int(held.get(i) or 0) + sum(h.weight for h in b.heavy)
-    for i, b in enumerate(_leaves(root)):
-        b.shard = i
-    return root
+    for k, leaf in enumerate(_leaves(root)):
+        leaf.shard = k
+    of = _table(boxed, [(i, b.shard) for i, b in boxes.items()], "box long, shard int")
+    out = written(boxed.join(of, "box").select("point", "shard"))
+    drop(boxed)
+    return root, out
 
 
 def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
@@ -193,23 +221,22 @@ def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = N
     docs; metadata columns may be missing or null; other columns are not looked at; an empty table gives no rows.
     """
     rows = written(sizes(docs))
-    total = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    total, n = (int(x or 0) for x in rows.agg(F.sum("size"), F.count("*")).first())
     shards = shards or max(1, -(-total // max(1, target_bytes or total)))
     points = points_of(rows, total / shards)
     heavier = F.col("weight") > max(HEAVY * total / shards, total / MOST_HEAVY)
     heavy = points.where(heavier).collect()
-    root = tree(points.where(~heavier), heavy, total, shards)
-    placed = {h.point: leaf.shard for leaf in _leaves(root) for h in leaf.heavy}
-    of = points.where(~heavier).select("point", _of(root, {id(b): b.shard for b in _leaves(root)}).cast("int").alias("shard"))
-    if placed:
-        of = of.union(docs.sparkSession.sql("VALUES " + ", ".join(f"(bigint('{p}'), {s})" for p, s in placed.items())))
-    of = written(of)
-    slotted = rows.withColumn("point", point_of(points.big)).join(of, "point").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(PARTS)).cast("int").alias("part"))
-    slotted = written(slotted)
+    root, of = tree(points.where(~heavier), heavy, total, shards)
+    placed = [(h.point, leaf.shard) for leaf in _leaves(root) for h in leaf.heavy]
+    both = of.union(_rows(docs.sparkSession, placed, "point long, shard int")) if placed else of
+    # rows that are equal in all ways are dealt to a shard's parts like any other
+    parts = max(PARTS, -(-n // (shards * PART_ROWS)))
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    numbered = rows.withColumn("part", part).withColumn("point", point_of(points.big))
+    slotted = written(numbered.join(both, "point").select("doc_id", "size", "text_crc32", "shard", "part"))
     drop(rows, points, of)
-    # at most shards * PARTS counts
     counts = slotted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "part", start.alias("start"))
     at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1
-    return slotted.withColumn("at", at).join(F.broadcast(starts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
+    return slotted.withColumn("at", at).join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))

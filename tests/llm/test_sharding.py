@@ -56,3 +56,25 @@ def test_fewer_texts_than_shards(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "doc_id long, text string")
     got = sharding.shard(rows, 16).collect()
     assert len(got) == 3 and all(0 <= r.shard < 16 for r in got)
+
+
+def test_thousands_of_shards(spark):
+    """Plans don't grow with the number of shards."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('text ', id, repeat('x', cast(id % 70 as int))) AS text", "CASE WHEN id % 3 = 0 THEN 'en' ELSE 'de' END AS lang", "concat('s', id % 11) AS source")
+    rows = sharding.shard(docs, 2048).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in rows:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(size.values()) / 2048
+    assert len(rows) == 40_000 and len(size) == 2048 and max(size.values()) < 2 * mean and min(size.values()) > mean / 3
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_rows_equal_in_all_ways(spark):
+    """A third of all rows have one doc_id and text."""
+    rows = sharding.shard(spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text' ELSE concat('text ', id) END AS text"), 4).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
