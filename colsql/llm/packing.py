@@ -21,8 +21,10 @@ from .common import map_arrow
 from .tokencount import byte_letters
 
 WINDOW, END = 1024, 0
-#: What a cut costs, in tokens of padding: inside a sentence, and between sentences of a document; and what each window costs.
-INSIDE, BETWEEN, EACH = 4, 1, 1
+#: What a cut costs, in tokens of padding: inside a sentence, and between sentences of a document; and what each window costs, so that
+#: short windows, though they need no padding at a power of two, aren't free. On sf0.01 these leave 1.0 % padding; of 992 windows 34
+#: are short, and 176 cuts of 894 are inside a sentence.
+INSIDE, BETWEEN, EACH = 64, 32, 64
 #: Tokens that one dynamic program sees. What its last windows hold is carried to the next.
 BLOCK = 1 << 17
 
