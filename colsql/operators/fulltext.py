@@ -117,8 +117,36 @@ def search(tables: dict[str, DataFrame], query: str, limit: int = 10) -> DataFra
     return out.orderBy(F.desc("score"), "source", "row").limit(limit)
 
 
-def postings(table: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """An inverted index: (term, key, tf, length), to be written and joined; search never depends on it."""
-    document = "flatten(array_compact(array(" + ", ".join(tokens_sql(f"`{c}`") for c in columns) + ")))"
-    rows = table.select(F.col(key).alias("key"), F.expr(document).alias("d")).withColumn("length", F.size("d"))
-    return rows.select("key", "length", F.explode("d").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def postings(rows: DataFrame, key: str, cells: Sequence[str]) -> DataFrame:
+    """An inverted index of rows: (term, file, key, tf, length), with the file that a row is in, as _file."""
+    document = "coalesce(flatten(array_compact(array(" + ", ".join(tokens_sql(c) for c in cells) + "))), array())"
+    each = rows.select(F.col("_file").alias("file"), F.col(f"`{key}`").alias("key"), F.expr(document).alias("d")).withColumn("length", F.size("d"))
+    return each.select("file", "key", "length", F.explode("d").alias("term")).groupBy("term", "file", "key").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+
+
+def _term(term: tuple[str, bool]) -> Column:
+    return F.col("term").startswith(term[0]) if term[1] else F.col("term") == term[0]
+
+
+def with_terms(index: DataFrame, query: str) -> DataFrame:
+    """(key, terms) of rows of an index(term, key) with any term of a query: a bit for each term that the row has. Filters reach
+    the index's files, which are sorted by term."""
+    terms = query_terms(query)
+    any_ = F.lit(False)
+    for x in terms:
+        any_ = any_ | _term(x)
+    bits = F.lit(0).cast("long")
+    for i, x in enumerate(terms):
+        bits = bits.bitwiseOR(F.when(_term(x), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return index.where(any_).select("key", bits.alias("terms")).groupBy("key").agg(F.bit_or("terms").alias("terms"))
+
+
+def having_all(index: DataFrame, query: str) -> DataFrame:
+    """(key) of rows with every term of a query."""
+    return with_terms(index, query).where(F.col("terms") == (1 << len(query_terms(query))) - 1).select("key")
+
+
+def rows_having(index: DataFrame, query: str) -> list[int]:
+    """The rows that have each term of a query."""
+    sums = [F.coalesce(F.sum(F.shiftright("terms", i).bitwiseAND(F.lit(1).cast("long"))), F.lit(0)) for i in range(len(query_terms(query)))]
+    return [int(x) for x in with_terms(index, query).agg(*sums).first()] if sums else []

@@ -18,7 +18,7 @@ from . import functions
 from .errors import ConflictError, SqlError
 from .operators import fulltext, recursion
 from .plans.ast import QUERIES, Node, mapped, walk
-from .plans.bounds import bounds_of
+from .plans.bounds import Asked
 from .plans.lower import Columns, Lower, Scope, Source, ident
 from .plans.parser import parse, parse_expression
 from .sources.database import RETRIES, Work
@@ -96,25 +96,84 @@ class Session:
             return self.sql(state["views"][name])
         raise SqlError(f"Unknown table {name}")
 
-    def relation(self, name: str, asked: Callable[[str], Bounds | None] = lambda column: None) -> tuple[str, Columns] | Node:
-        """A table or view as lowering sees it. Files of a table of its own that can't have a key within what is asked are left out."""
+    def relation(self, name: str, asked: Asked | None = None) -> tuple[str, Columns] | Node:
+        """A table or view as lowering sees it. Of a table of its own, files that can't have a key within what is asked are left out,
+        and rows that don't match by a text index; conditions are still evaluated on what is left."""
         if name in self.frames:
             return ident(name), [(f.name, logical(f.dataType)) for f in self.frames[name].schema.fields]
         state = self.state()
         if name in state["tables"]:
             t = state["tables"][name]
             view = f"__t{next(self.numbers)}"
-            bounds = asked(t["key"]) if t["key"] else None
-            self.store.frame(t, self.store.files(t, bounds)).createOrReplaceTempView(view)
+            files = self.store.files(t, asked.bounds(t["key"]) if asked and t["key"] else None)
+            self._matching(t, files, asked.texts() if asked and t.get("texts") else []).createOrReplaceTempView(view)
             return view, [(c["name"], c["type"]) for c in t["columns"]]
         if name in state["views"]:
             return parse(state["views"][name])[0]
         raise SqlError(f"Unknown table {name}")
 
+    # text indexes
+
+    def index_text(self, name: str, *columns: str) -> int:
+        """Makes a text index of a table with a key, or adds to it what was written since: postings of each file that has none.
+        Queries use it where it covers what they ask, and scan the rest. Gives the files that were added."""
+
+        def run(w: Work) -> int:
+            t = w.table(name)
+            key, kinds = Work.keyed(t, name, "A text index"), dict(self.columns_of(t))
+            if unknown := [c for c in columns if kinds.get(c) in (None, "boolean")]:
+                raise SqlError(f"{name} has no column {unknown[0]} to search")
+            indexes = t.setdefault("texts", [])
+            index = next((i for i in indexes if set(i["columns"]) == set(columns)), None)
+            if index is None:
+                index = {"columns": sorted(columns), "files": {}, "folders": []}
+                indexes.append(index)
+            listed = self.store.files(t)
+            new = [f for f in listed if f["path"] not in index["files"]]
+            if not new:
+                return 0
+            cells = [fulltext.cell_sql(ident(c), kinds[c]) for c in index["columns"]]
+            folder = self.store.index(fulltext.postings(self.store.with_file(t, files=new), key, cells), name)
+            sums = {r.file: r for r in self.store.spark.read.parquet(f"{self.store.root}/{folder}").select("file", "key", "length").distinct().groupBy("file").agg(F.sum("length").alias("tokens")).collect()}
+            index["files"] |= {f["path"]: {"tokens": int(sums[f["path"]].tokens) if f["path"] in sums else 0} for f in new}
+            index["folders"].append(folder)
+            w.changed.add(name)
+            return len(new)
+
+        return self._in_work(run)
+
+    def _matching(self, t: dict, files: list[dict], texts: list[tuple[frozenset[str], str]]) -> DataFrame:
+        """Rows of files, without those of indexed files that lack a term of a text that their columns must match."""
+        rows = self.store.frame(t, files)
+        for columns, query in texts:
+            index = next((i for i in t["texts"] if set(i["columns"]) == columns), None)
+            terms = fulltext.query_terms(query) if index else []
+            known = [f for f in files if index and f["path"] in index["files"]]
+            if not known or not terms:
+                continue
+            keys = fulltext.having_all(self.store.postings(index, known), query).withColumnRenamed("key", "__key")
+            found = self.store.frame(t, known).join(keys, F.col(ident(t["key"])) == F.col("__key"), "left_semi")
+            rest = [f for f in files if f["path"] not in index["files"]]
+            return found.unionByName(self.store.frame(t, rest)) if rest else found
+        return rows
+
+    def _indexed_statistics(self, name: str, cells: list[str], query: str) -> tuple | None:
+        """BM25's statistics from an index of all files of a table; None if there is none."""
+        t = self.state()["tables"].get(name, {})
+        for index in t.get("texts", []):
+            kinds = dict(self.columns_of(t))
+            if {fulltext.cell_sql(ident(c), kinds[c]) for c in index["columns"]} != set(cells):
+                continue
+            files = self.store.files(t)
+            if all(f["path"] in index["files"] for f in files) and (n := self.store.count(t)) is not None:
+                return n, sum(index["files"][f["path"]]["tokens"] for f in files), fulltext.rows_having(self.store.postings(index, files), query)
+        return None
+
     def statistics(self, name: str, cells: list[str], query: str) -> tuple:
         key = (name, tuple(cells), query, None if name in self.frames else self.state()["tables"][name].get("manifest"))
         if key not in self._statistics:
-            self._statistics[key] = fulltext.statistics(self.table(name), cells, query)
+            indexed = None if name in self.frames else self._indexed_statistics(name, cells, query)
+            self._statistics[key] = indexed or fulltext.statistics(self.table(name), cells, query)
         return self._statistics[key]
 
     # queries
@@ -458,7 +517,7 @@ class Session:
         return mapped(e, lambda n: n.copy(path=n.path[1:]) if n.kind == "column_ref" and len(n.path) == 2 and n.path[0] == table else None)
 
     def asked(self, tree: Node, key: str, params: Sequence[object]) -> Bounds | None:
-        return bounds_of(tree.where, lambda n: n.kind == "column_ref" and n.path in ([key], [tree.table, key]), self.lower(params).param)
+        return Asked(tree.where, tree.table, True, self.lower(params).param).bounds(key)
 
     def rows_where(self, tree: Node, items: list[Node]) -> Node:
         source = Node("table", None, name=tree.table, alias=tree.table, columns=None)

@@ -393,3 +393,59 @@ def test_a_batch_that_comes_again_is_left_out(items):
     assert items.append_batch("items", batch, "stream", 0)
     assert not items.append_batch("items", batch, "stream", 0)
     assert rows(items, "SELECT COUNT(*) AS n FROM items WHERE id = 70") == [(1,)]
+
+
+@pytest.fixture
+def texts(db):
+    db.execute("CREATE TABLE d (id INT PRIMARY KEY, a TEXT, b TEXT, n INT)")
+    words = ["alpha", "beta", "gamma", "delta", "Köln", "grüße", "x1", "日本語"]
+    r = random.Random(3)
+    for k in range(4):
+        db.insert_rows("d", [{"id": 10 * k + i, "a": None if i == 3 else " ".join(r.choices(words, k=r.randrange(0, 7))), "b": r.choice(words), "n": i} for i in range(10)])
+    return db
+
+
+QUERIES = ["alpha", "alpha beta", "al*", "köln GRÜSSE*", "日本", "nothing", "", "x1 g* d*"]
+
+
+def found(s, q):
+    where = rows(s, f"SELECT id FROM d WHERE MATCH(a) AGAINST '{q}' AND id >= 3")
+    scores = [(i, None if x is None else round(x, 9)) for i, x in rows(s, f"SELECT id, BM25(a) AGAINST '{q}' AS s FROM d")]
+    both = rows(s, f"SELECT id, BM25(a, b) AGAINST '{q}' AS s FROM d t WHERE MATCH(t.a, t.b) AGAINST '{q}'")
+    return where, scores, [(i, round(x, 9)) for i, x in both], rows(s, f"SELECT COUNT(*) AS n FROM d WHERE MATCH(a) AGAINST '{q}' OR n = 4")
+
+
+def test_a_text_index_changes_no_result(texts):
+    before = {q: found(texts.another(), q) for q in QUERIES}
+    assert texts.index_text("d", "a") == len(texts.store.files(texts.state()["tables"]["d"])) and texts.index_text("d", "a", "b") > 0 and texts.index_text("d", "a") == 0
+    assert {q: found(texts.another(), q) for q in QUERIES} == before
+    plan = texts.explain("SELECT id FROM d WHERE MATCH(a) AGAINST 'alpha beta'")
+    assert "LeftSemi" in plan and "/x-" in plan and "PushedFilters" in plan and "EqualTo(term,alpha)" in plan
+    # rows that are written afterwards are scanned; changed and deleted ones are passed over in the index
+    texts.execute("INSERT INTO d (id, a) VALUES (100, 'alpha beta new')"), texts.execute("UPDATE d SET a = 'alpha beta' WHERE id = 5"), texts.execute("DELETE FROM d WHERE id = 6")
+    plain = texts.another()
+    plain._matching = lambda t, files, texts: plain.store.frame(t, files)
+    plain._indexed_statistics = lambda *_: None
+    after = {q: found(plain, q) for q in QUERIES}
+    assert {q: found(texts.another(), q) for q in QUERIES} == after
+    assert texts.index_text("d", "a") > 0 and texts.store.vacuum() >= 0
+    assert {q: found(texts.another(), q) for q in QUERIES} == after
+
+
+def test_statistics_come_from_the_index(texts, monkeypatch):
+    from colsql.operators import fulltext
+
+    texts.index_text("d", "a")
+    expected = {q: fulltext.statistics(texts.table("d"), ["`a`"], q) for q in QUERIES if q}
+    monkeypatch.setattr(fulltext, "statistics", lambda *_: pytest.fail("a scan"))
+    assert {q: texts.statistics("d", ["`a`"], q) for q in expected} == expected
+
+
+def test_commits_outside_of_a_live_querys_keys(db):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v TEXT)")
+    db.execute("INSERT INTO t (id, v) VALUES (1, 'a')"), db.execute("INSERT INTO t (id, v) VALUES (100, 'b')")
+    near, all_ = subscribe(db, "SELECT v FROM t WHERE id < 50"), subscribe(db, "SELECT COUNT(*) AS n FROM t")
+    db.execute("INSERT INTO t (id, v) VALUES (101, 'c')"), db.execute("UPDATE t SET v = 'z' WHERE id = 100")
+    assert not near.poll() and near.runs == 1 and all_.poll() and all_.runs == 2
+    db.execute("UPDATE t SET v = 'y' WHERE id = 1")
+    assert near.poll() and near.runs == 2 and [r.v for r in near.latest.collect()] == ["y"]
