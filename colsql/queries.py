@@ -87,6 +87,12 @@ _FRAME = "OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1
 q("win_groups", "orders", f"SELECT o_orderkey, COUNT(*) {_FRAME.format('')} AS n, MAX(o_totalprice) {_FRAME.format('')} AS m FROM orders")
 for _e, _n in (("CURRENT ROW", "current"), ("GROUP", "group"), ("TIES", "ties")):
     q(f"win_exclude_{_n}", "orders", f"SELECT o_orderkey, COUNT(*) {_FRAME.format(f' EXCLUDE {_e}')} AS n, ROUND(SUM(o_totalprice) {_FRAME.format(f' EXCLUDE {_e}')}, 2) AS s, MIN(o_totalprice) {_FRAME.format(f' EXCLUDE {_e}')} AS m FROM orders")
+for _n, _e in (("group", "GROUP"), ("ties", "TIES"), ("current", "CURRENT ROW")):
+    _f = f"OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE {_e})"
+    _g = f"OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {_e})"
+    q(f"win_exclude_ends_{_n}", "orders", f"SELECT o_orderkey, MAX(o_totalprice) {_f} AS a, MIN(NULLIF(o_orderkey, 5)) {_f} AS b" + (f", MAX(o_totalprice) {_g} AS c FROM orders WHERE o_orderkey < 2000" if _n != "current" else " FROM orders WHERE o_orderkey < 2000"))
+q("win_exclude_first_last", "orders", "SELECT o_orderkey, FIRST_VALUE(o_totalprice) OVER w AS a, LAST_VALUE(o_totalprice) OVER w AS b, MIN(o_totalprice) OVER w AS c, NTH_VALUE(o_totalprice, 2) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW)")
+q("win_exclude_nothing", "orders", "SELECT o_orderkey, MAX(o_totalprice) OVER w AS a, COUNT(*) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING EXCLUDE CURRENT ROW)")
 q("win_exclude_rows", "orders", "SELECT o_orderkey, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM orders")
 q("win_named", "orders", "SELECT o_orderkey, COUNT(*) OVER w AS a, MIN(o_totalprice) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)")
 q("win_over_group", "orders", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS run FROM orders GROUP BY o_orderstatus, o_orderpriority")

@@ -94,6 +94,16 @@ class Work:
         if twice:
             raise ConstraintError("unique", f"{name}: duplicate {key} {twice[0]['k']!r}")
 
+    def near(self, t: dict, before: list[dict], files: list[dict]) -> DataFrame | None:
+        """Rows of those files that can have a key of new ones, by their bounds; None if there are none: rows at a table's end are
+        compared with nothing."""
+        if t["key"] is None or not files:
+            return None
+        ends = [(f["low"], f["high"]) for f in files]
+        whole = Bounds() if any(a is None or b is None for a, b in ends) else Bounds(min(a for a, _ in ends), max(b for _, b in ends))
+        met = [f for f in before if whole.meets(f)]
+        return self.store.frame(t, met) if met else None
+
     def check_references(self, name: str, df: DataFrame) -> None:
         for r in self.table(name)["refs"]:
             parent = self.table(r["table"])
@@ -137,11 +147,10 @@ class Work:
     def insert(self, name: str, df: DataFrame, check: Callable) -> DataFrame:
         t = self.table(name)
         before = self.store.files(t)
-        old = self.store.frame(t, before)
         files = self.write(df, name)
         new = self.store.frame(t, files)
         self.check_rows(name, new, check)
-        self.check_unique(name, new, old if before else None)
+        self.check_unique(name, new, self.near(t, before, files))
         self.put(name, before + files)
         self.check_references(name, new)
         return new
@@ -300,8 +309,8 @@ class Work:
         hits = self.hits(t, files)
         both = new.unionByName(hits)
         self.check_rows(name, both, check)
+        self.check_unique(name, new, self.near(t, kept + files, fresh_files))
         self.put(name, kept + files + fresh_files)
-        self.check_unique(name, self.frame(name), None)
         self.check_references(name, both)
         if n_gone:
             self.references_to(name, gone, check)
