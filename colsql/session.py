@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import itertools
+import json
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from .sources.store import SPARK_TYPES, Bounds, Store
 
 CONF = {"spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
 SELF = "__self"
+#: What remembered results may have in all.
+MEMO_BYTES = 64 << 20
 A = TypeVar("A")
 
 
@@ -56,6 +60,7 @@ class Session:
         self.at_version: int | None = None
         self.numbers = itertools.count()
         self._statistics: dict = {}
+        self._memo: dict[tuple, pa.Table] = {}
         self.idle_seconds, self._idle = idle_seconds, threading.Lock()
 
     # sources
@@ -212,6 +217,33 @@ class Session:
     def sql(self, text: str, params: Sequence[object] = ()) -> DataFrame:
         return self.spark.sql(self.spark_sql(text, params))
 
+    def result(self, text: str, params: Sequence[object] = ()) -> pa.Table:
+        """A query's rows. Those of queries over tables of its own are remembered, up to MEMO_BYTES in all, for as long as the tables
+        are the same: by their manifests, which never change. Queries that ask for the time run each time."""
+        tree = parse(text)[0]
+        names, views, todo = set(), self.state()["views"], [tree]
+        while todo:
+            for n in walk(todo.pop()):
+                if n.kind == "table" and n.name not in names:
+                    names.add(n.name)
+                    todo += [parse(views[n.name])[0]] if n.name in views else []
+                elif n.kind == "now":
+                    return self.sql(text, params).toArrow()
+        tables = self.state()["tables"]
+        if any(n in self.frames for n in names):
+            return self.sql(text, params).toArrow()
+        key = text, repr(params), tuple(sorted((n, tables[n].get("manifest"), json.dumps(tables[n]["columns"])) for n in names if n in tables)), tuple(sorted((n, views[n]) for n in names if n in views))
+        if key in self._memo:
+            self._memo[key] = self._memo.pop(key)  # the last used is the last to go
+        else:
+            out = self.sql(text, params).toArrow()
+            if out.nbytes > MEMO_BYTES:
+                return out
+            self._memo[key] = out
+            while sum(t.nbytes for t in self._memo.values()) > MEMO_BYTES:
+                self._memo.pop(next(iter(self._memo)))
+        return self._memo[key]
+
     def explain(self, text: str, params: Sequence[object] = ()) -> str:
         return self.sql(text, params)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 

@@ -70,18 +70,18 @@ class Work:
     def names(self, t: dict) -> list[str]:
         return [c["name"] for c in t["columns"]]
 
-    def check_rows(self, name: str, df: DataFrame, check: Callable[[dict, str], str]) -> None:
-        """Nulls, enums and CHECKs of rows about to be visible, in one aggregation over the written files."""
+    def check_rows(self, name: str, df: DataFrame, check: Callable[[dict, str], str]) -> int:
+        """Nulls, enums and CHECKs of rows about to be visible, in one aggregation over the written files; how many rows there are."""
         t = self.table(name)
         tests = [("null", f"{c['name']} may not be null", F.col(f"`{c['name']}`").isNull()) for c in t["columns"] if not c["nullable"]]
         tests += [("type", f"{c['name']} must be finite", F.isnan(f"`{c['name']}`") | (F.abs(f"`{c['name']}`") == float("inf"))) for c in t["columns"] if c["type"] == "number"]
         tests += [("enum", f"{c['name']} has a value that isn't listed", ~F.col(f"`{c['name']}`").isin(c["enum"])) for c in t["columns"] if c.get("enum")]
         tests += [("check", f"CHECK ({k}) fails", F.expr(f"({check(t, k)}) IS FALSE")) for k in t["checks"]]
-        if tests:
-            bad = df.agg(*(F.max(F.coalesce(x, F.lit(False))).alias(f"t{i}") for i, (_, _, x) in enumerate(tests))).first()
-            for (code, message, _), hit in zip(tests, bad, strict=True):
-                if hit:
-                    raise ConstraintError(code, f"{name}: {message}")
+        n, *bad = df.agg(F.count("*").alias("n"), *(F.max(F.coalesce(x, F.lit(False))).alias(f"t{i}") for i, (_, _, x) in enumerate(tests))).first()
+        for (code, message, _), hit in zip(tests, bad, strict=True):
+            if hit:
+                raise ConstraintError(code, f"{name}: {message}")
+        return n
 
     def check_unique(self, name: str, df: DataFrame, against: DataFrame | None) -> None:
         key = self.table(name)["key"]
@@ -173,12 +173,12 @@ class Work:
 
     def finish(self, name: str, t: dict, key: str | None, old: DataFrame, files: list[dict], kept: list[dict], key_moves: bool, check: Callable) -> tuple[DataFrame, DataFrame, int]:
         new = self.hits(t, files)
-        self.check_rows(name, new, check)
+        n = self.check_rows(name, new, check)
         self.put(name, kept + files)
         if key_moves:
             self.check_unique(name, self.frame(name), None)
         self.check_references(name, new)
-        return old, new, new.count()
+        return old, new, n
 
     def hits(self, t: dict, files: list[dict]) -> DataFrame:
         if not files:

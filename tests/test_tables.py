@@ -449,3 +449,14 @@ def test_commits_outside_of_a_live_querys_keys(db):
     assert not near.poll() and near.runs == 1 and all_.poll() and all_.runs == 2
     db.execute("UPDATE t SET v = 'y' WHERE id = 1")
     assert near.poll() and near.runs == 2 and [r.v for r in near.latest.collect()] == ["y"]
+
+
+def test_remembered_results(items):
+    items.execute("CREATE VIEW v AS SELECT id, amount FROM items WHERE amount > 5")
+    first = items.result("SELECT COUNT(*) AS n, SUM(amount) AS s FROM v WHERE id < ?", [10])
+    assert items.result("SELECT COUNT(*) AS n, SUM(amount) AS s FROM v WHERE id < ?", [10]) is first and first.to_pylist() == [{"n": 2, "s": 17.0}]
+    assert items.result("SELECT COUNT(*) AS n, SUM(amount) AS s FROM v WHERE id < ?", [2]).to_pylist() == [{"n": 1, "s": 10.0}]
+    items.execute("UPDATE items SET amount = 6 WHERE id = 2")
+    assert items.result("SELECT COUNT(*) AS n, SUM(amount) AS s FROM v WHERE id < ?", [10]).to_pylist() == [{"n": 3, "s": 23.0}]
+    now = items.result("SELECT CURRENT_TIMESTAMP AS t FROM items WHERE id = 1")
+    assert items.result("SELECT CURRENT_TIMESTAMP AS t FROM items WHERE id = 1") is not now
