@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from .common import Written, drop, written
 
 #: Bins of a histogram; times a median's bin is divided again.
-BINS, ROUNDS = 1024, 4
+BINS, ROUNDS = 256, 4
 #: Parts of a shard in which slots are counted: so many, or more if they would have more rows.
 PARTS, PART_ROWS = 64, 1_000_000
 #: What a median may be off, as a share of a shard's bytes.
