@@ -194,6 +194,9 @@ q("rate_of_returns", "lineitem part", "SELECT p_brand, COUNT(*) AS n, ROUND(COUN
 q("contains_newest", "orders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderpriority LIKE '%URG%' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
 
 
+q("rollup_of_no_rows", "orders", "SELECT o_orderstatus, COUNT(*) AS n, SUM(o_totalprice) AS s, MAX(o_orderdate) AS d FROM orders WHERE o_orderkey < 0 GROUP BY ROLLUP (o_orderstatus)")
+q("cube_of_no_rows", "orders", "SELECT o_orderstatus, o_custkey % 3 AS k, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY CUBE (o_orderstatus, o_custkey % 3) HAVING COUNT(*) < 5")
+q("grouping_sets_twice_empty", "nation", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey), (), ()) ORDER BY n DESC, n_regionkey LIMIT 4")
 # forms that had no query of their own
 q("distinct_star", "nation", "SELECT DISTINCT * FROM (SELECT n_regionkey, n_nationkey % 2 AS odd FROM nation) d")
 q("agg_all", "lineitem", "SELECT l_returnflag, COUNT(ALL l_tax) AS n, ROUND(SUM(ALL l_quantity), 2) AS s, MAX(ALL l_shipdate) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, COUNT(l_tax) AS n, ROUND(SUM(l_quantity), 2) AS s, MAX(l_shipdate) AS d FROM lineitem GROUP BY l_returnflag")
