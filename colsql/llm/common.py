@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..workers import importable
 
-#: Rows of an Arrow batch. Texts may be very long, so the default of 10,000 rows isn't a bound on a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: texts may be very long.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: What no word holds: the words of a text are its maximal runs of other characters. bytes.split() splits by exactly these.
 SPACE = r"\x20\x09-\x0D"
 _LIVE: set[tuple[SparkSession, str]] = set()
@@ -23,9 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows."""
+    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES (a row alone may have more). The session's settings say so,
+    as they are read when a plan runs; smaller ones of the caller stay."""
     importable(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = str(df.sparkSession.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df.mapInArrow(f, schema)
 
 
