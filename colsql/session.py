@@ -7,6 +7,7 @@ import itertools
 import json
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import TypeVar
@@ -72,8 +73,13 @@ class Session:
         self.frames[name] = own
 
     def _own(self, df: DataFrame) -> DataFrame:
-        """The same plan as a DataFrame of this session."""
-        return DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed()), self.spark)
+        """The same plan as a DataFrame of this session, by way of a view that sessions share."""
+        name = f"colsql_{uuid.uuid4().hex}"
+        df.createOrReplaceGlobalTempView(name)
+        try:
+            return self.spark.table(f"global_temp.{name}")
+        finally:
+            self.spark.catalog.dropGlobalTempView(name)
 
     def read_parquet(self, name: str, path: str) -> None:
         df = self.spark.read.parquet(path)
@@ -170,7 +176,7 @@ class Session:
             if {fulltext.cell_sql(ident(c), kinds[c]) for c in index["columns"]} != set(cells):
                 continue
             files = self.store.files(t)
-            if all(f["path"] in index["files"] for f in files) and (n := self.store.count(t)) is not None:
+            if all(f["path"] in index["files"] and not f.get("gone") for f in files) and (n := self.store.count(t)) is not None:
                 return n, sum(index["files"][f["path"]]["tokens"] for f in files), fulltext.rows_having(self.store.postings(index, files), query)
         return None
 

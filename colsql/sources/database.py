@@ -13,6 +13,8 @@ from ..errors import ConflictError, ConstraintError, SqlError
 from .store import SPARK_TYPES, Bounds, Store
 
 RETRIES = 8
+#: A large file (Store.delta_bytes), of which a statement changes no more than this share of rows, isn't written anew.
+DELTA_SHARE = 0.05
 
 
 class Work:
@@ -160,16 +162,39 @@ class Work:
         inside, kept = self.store.split(t, (r[0] for r in rows.select("_file").distinct().collect()))
         return self.store.frame(t, inside), inside, kept
 
+    def hit_files(self, t: dict, where: Column, bounds: Bounds | None) -> tuple[list[dict], list[dict], list[dict]]:
+        """The files with a row for which where is true: those to write anew, and large ones of which few rows are hit, whose
+        rows are to be marked as gone; and the other files. Only files are looked at that can have a key within bounds."""
+        hits = dict(self.store.with_file(t, bounds).where(where).groupBy("_file").count().collect())
+        inside, kept = self.store.split(t, hits)
+        few = [f for f in inside if f["bytes"] >= self.store.delta_bytes and f.get("rows") and hits[f["path"]] <= DELTA_SHARE * f["rows"]]
+        return [f for f in inside if f not in few], few, kept
+
+    def without(self, name: str, few: list[dict], where: Column) -> list[dict]:
+        """The entries of files whose rows, for which where is true, are gone."""
+        if not few:
+            return []
+        t = self.table(name)
+        rows = self.store.with_file(t, files=few).where(where).select(F.col("_file").alias("f"), F.col(f"`{t['key']}`").alias("k"))
+        folder = self.store.write_gone(rows, name)
+        self.staged.append({"path": f"{folder}/"})
+        lost = dict(self.store.spark.read.parquet(f"{self.store.root}/{folder}").groupBy("f").count().collect())
+        return [{**f, "rows": f["rows"] - lost[f["path"]], "gone": [*f.get("gone", []), folder]} for f in few]
+
     def update(self, name: str, where: Column, sets: dict[str, Column], check: Callable, bounds: Bounds | None = None) -> tuple[DataFrame, DataFrame, int]:
-        """Copy on write: only files with a row for which where is true are written anew, and only those are looked at that can
-        have a key within bounds."""
+        """Only files with a row for which where is true are written anew; of large ones with few such rows these alone are, and
+        the old ones are marked as gone."""
         t = self.table(name)
         key = self.keyed(t, name, "UPDATE")
-        inside, _, kept = self.touched(t, self.store.with_file(t, bounds).where(where))
+        anew, few, kept = self.hit_files(t, where, bounds)
         hit = F.coalesce(where, F.lit(False))
-        changed = inside.select(*(F.when(hit, sets[c].cast(inside.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in inside.columns), hit.alias("_hit"))
-        files = self.write(changed, name, ("_hit",))
-        return self.finish(name, t, key, inside.where(hit), files, kept, key in sets, check)
+
+        def changed(rows: DataFrame) -> DataFrame:
+            return rows.select(*(F.when(hit, sets[c].cast(rows.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in rows.columns), hit.alias("_hit"))
+
+        parts = [self.store.frame(t, anew)] * bool(anew) + [self.store.frame(t, few).where(where)] * bool(few)
+        files = self.write(reduce(DataFrame.unionByName, map(changed, parts)), name, ("_hit",)) if parts else []
+        return self.finish(name, t, key, self.store.frame(t, anew + few).where(hit), files, kept + self.without(name, few, where), key in sets, check)
 
     def finish(self, name: str, t: dict, key: str | None, old: DataFrame, files: list[dict], kept: list[dict], key_moves: bool, check: Callable) -> tuple[DataFrame, DataFrame, int]:
         new = self.hits(t, files)
@@ -196,12 +221,12 @@ class Work:
     def delete(self, name: str, where: Column, check: Callable, bounds: Bounds | None = None) -> tuple[DataFrame, int]:
         t = self.table(name)
         self.keyed(t, name, "DELETE")
-        inside, _, kept = self.touched(t, self.store.with_file(t, bounds).where(where))
-        gone = inside.where(where)
+        anew, few, kept = self.hit_files(t, where, bounds)
+        gone = self.store.frame(t, anew + few).where(where)
         n = gone.count()
         if n:
-            files = self.write(inside.where(~F.coalesce(where, F.lit(False))), name)
-            self.put(name, kept + files)
+            files = self.write(self.store.frame(t, anew).where(~F.coalesce(where, F.lit(False))), name) if anew else []
+            self.put(name, kept + files + self.without(name, few, where))
             self.references_to(name, gone, check)
         return gone, n
 
@@ -335,7 +360,7 @@ class Work:
                 runs.append([f])
             high = f["high"] if high is None else max(high, f["high"])
         todo, held = [], 0
-        for run in (r for r in runs if len(r) > 1 or r[0].get("rows") is None or r[0]["rows"] > 2 * rows):
+        for run in (r for r in runs if len(r) > 1 or r[0].get("rows") is None or r[0]["rows"] > 2 * rows or r[0].get("gone")):
             if todo and most_bytes is not None and held + sum(f["bytes"] for f in run) > most_bytes:
                 break
             todo += run

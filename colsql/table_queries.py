@@ -240,6 +240,17 @@ def _codes(s: Session, statements: list[str]) -> DataFrame:
     return s.spark.createDataFrame(out, "statement int, outcome string")
 
 
+@made(f"WITH {BASE} SELECT id, segment, CASE WHEN id = 3 THEN 0 ELSE balance END AS balance, note FROM acc WHERE id NOT BETWEEN 10 AND 12 UNION ALL SELECT 11, NULL, 5, 'none'")
+def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are changed and deleted in files which stay: read less what is gone, a key that is gone and back among them."""
+    s = database(spark, sf_dir, "customer")
+    s.store.delta_bytes = 0
+    s.execute(ACC), s.execute(FILL)
+    for text in ("UPDATE acc SET balance = 0 WHERE id = 3", "DELETE FROM acc WHERE id BETWEEN 10 AND 12", "INSERT INTO acc (id, balance) VALUES (11, 4)", "UPDATE acc SET balance = balance + 1 WHERE id = 11"):
+        s.execute(text)
+    return s.sql(READ)
+
+
 @made("SELECT * FROM (VALUES (0, 'check'), (1, 'done'), (2, 'null'), (3, 'check'), (4, 'done')) v(statement, outcome)")
 def check_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = database(spark, sf_dir)

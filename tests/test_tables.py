@@ -460,3 +460,35 @@ def test_remembered_results(items):
     assert items.result("SELECT COUNT(*) AS n, SUM(amount) AS s FROM v WHERE id < ?", [10]).to_pylist() == [{"n": 3, "s": 23.0}]
     now = items.result("SELECT CURRENT_TIMESTAMP AS t FROM items WHERE id = 1")
     assert items.result("SELECT CURRENT_TIMESTAMP AS t FROM items WHERE id = 1") is not now
+
+
+def test_marked_rows_give_what_written_files_give(spark, tmp_path):
+    """The same statements with every file written anew, and with rows marked as gone: the same rows, at every step."""
+    steps = [
+        "UPDATE t SET v = 'one' WHERE id = 5", "DELETE FROM t WHERE id = 7", "UPDATE t SET v = 'two' WHERE id = 5", "UPDATE t SET id = 1005 WHERE id = 6", "DELETE FROM t WHERE v = 'two'",
+        "INSERT INTO t (id, v) VALUES (7, 'back'), (5, 'again')", "UPDATE t SET v = 'late' WHERE id IN (5, 8, 1005)", "INSERT INTO t (id, v) VALUES (9, 'up'), (-1, 'new') ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v",
+        "MERGE INTO t USING (VALUES (10), (11), (-2)) s(k) ON t.id = s.k WHEN MATCHED AND s.k = 10 THEN DELETE WHEN MATCHED THEN UPDATE SET v = 'm' WHEN NOT MATCHED THEN INSERT (id) VALUES (s.k)", "DELETE FROM t WHERE id BETWEEN 100 AND 104",
+    ]
+    seen = {}
+    for least in (1 << 60, 0):
+        s = Session(spark, str(tmp_path / f"d{least}"))
+        s.store.delta_bytes = least
+        s.execute("CREATE TABLE t (id INT PRIMARY KEY, v TEXT)")
+        s.insert_frame("t", s.spark.range(0, 400, 1, 2).selectExpr("CAST(id AS DOUBLE) AS id", "CAST(id AS STRING) AS v"))
+        s.index_text("t", "v")
+        out, most = [], 0
+        for text in steps:
+            n = s.execute(text).count
+            files = s.store.files(s.state()["tables"]["t"])
+            most = max(most, sum(len(f.get("gone", [])) for f in files))
+            out.append((n, rows(s, "SELECT id, v FROM t"), rows(s, "SELECT COUNT(*) AS n FROM t"), rows(s, "SELECT id FROM t WHERE MATCH(v) AGAINST 'late'"), rows(s, "SELECT id, BM25(v) AGAINST '8' AS s FROM t WHERE MATCH(v) AGAINST '8'")))
+        seen[least] = out
+        assert (most > 0) == (least == 0)
+        s.store.vacuum()
+        copy = Session(spark, str(tmp_path / f"copy{least}"))
+        s.store.export(copy.store.root)
+        assert rows(copy, "SELECT id, v FROM t") == out[-1][1]
+        with s.transaction():
+            s.work.compact("t", 100)
+        assert rows(s, "SELECT id, v FROM t") == out[-1][1] and not any(f.get("gone") for f in s.store.files(s.state()["tables"]["t"]))
+    assert seen[0] == seen[1 << 60]
