@@ -12,13 +12,14 @@ Texts with equal XXH64 count as equal: one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Written, components, drop, map_arrow, written
@@ -35,6 +36,8 @@ CELLS, CHUNKS = 1 << 20, 256
 HOT, HOT_TIMES = 1 << 16, 16
 #: Rows of a shingle that meet in one task; more are dealt to several.
 MEET = 1 << 16
+#: Rows of a shingle up to which plain loops are faster than arrays.
+SMALL = 8
 #: Texts whose repetition a task remembers.
 REMEMBERED = 1 << 20
 
@@ -229,8 +232,42 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, best: bool) ->
     alike by their sizes and the token's places. best: of those with one text and one root, the nearest by whole fingerprint.
     Only texts outside of a token's largest root are compared with the others: few says which, where a token has several deals."""
     share = similarity / (1 + similarity)
+    pairs: list[tuple[int, int]] = []  # of small groups, not yet given
+
+    def small(rows: list[list[int]]) -> None:
+        """The same as close, for a few rows: most tokens have two or three."""
+        roots = [r[7] for r in rows]
+        if len(set(roots)) < 2:
+            return
+        main = max(set(roots), key=lambda q: (roots.count(q), q))
+        many = [q == main for q in roots] if rows[0][2] < 0 else [r[2] == 0 for r in rows]
+        for (_, deal, _, n, at, key, whole, root), is_many in zip(rows, many, strict=True):
+            if is_many:
+                continue
+            nearest: dict[int, tuple[int, int]] = {}
+            for (_, _, _, n2, at2, key2, whole2, root2), other in zip(rows, many, strict=True):
+                if root2 == root or not (other or key < key2 and deal == 0):
+                    continue
+                need = math.ceil(share * (n + n2) - 1e-9)
+                if at + need <= n and at2 + need <= n2:
+                    if best:
+                        found = (((whole ^ whole2) & (1 << 64) - 1).bit_count(), key2)
+                        nearest[root2] = min(nearest.get(root2, found), found)
+                    else:
+                        pairs.append((key, key2))
+            pairs.extend((key, k) for _, k in nearest.values())
+
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+        pairs.clear()
+        return out
 
     def close(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(x) <= SMALL:
+            small(x.tolist())
+            if len(pairs) >= 10_000:
+                yield given()
+            return
         x = x[np.argsort(x[:, 7], kind="stable")]
         deal, few, n, at, key, whole, root = x[:, 1:].T
         starts = np.flatnonzero(np.diff(root, prepend=root[0] - 1))
@@ -272,6 +309,12 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, best: bool) ->
             held.append(part)
     if held:
         yield from close(np.concatenate(held))
+    yield given()
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks of a shuffle whose work isn't in its bytes, so that adaptive execution doesn't make few of them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_postings(texts: DataFrame, size: int, similarity: float, hold: int = 1 << 20) -> Written:
@@ -283,15 +326,15 @@ def shared_postings(texts: DataFrame, size: int, similarity: float, hold: int =
     """
     spark = texts.sparkSession
     cells = spark.sparkContext.broadcast(frequencies(texts, size))
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * _tasks(spark)
     packed = map_arrow(texts, partial(_postings, size=size, similarity=similarity, cells=cells, parts=parts, hold=hold), PACKED)
-    return written(map_arrow(packed.repartition("part").sortWithinPartitions("part"), _shared, SHARED))
+    return written(map_arrow(packed.repartition(_tasks(spark), "part").sortWithinPartitions("part"), _shared, SHARED))
 
 
 def apart(shared: DataFrame, labels: DataFrame) -> Written:
     """The postings whose token texts of different roots have, with whole and root from labels(key, whole, root)."""
     labelled = shared.join(labels, "key").select(*(x.split()[0] for x in MIXED.split(", ")))
-    return written(map_arrow(labelled.repartition("token").sortWithinPartitions("token"), _mixed, MIXED))
+    return written(map_arrow(labelled.repartition(_tasks(shared.sparkSession), "token").sortWithinPartitions("token"), _mixed, MIXED))
 
 
 def pairs_apart(mixed: DataFrame, similarity: float, best: bool, meet: int = MEET) -> Written:
@@ -309,7 +352,7 @@ def pairs_apart(mixed: DataFrame, similarity: float, best: bool, meet: int = MEE
         own = F.array(F.pmod(F.xxhash64("key"), F.col("deals")).cast("int"))
         deals = F.when(F.col("deals").isNull(), F.array(F.lit(0))).when(few, F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(own)
         rows = mixed.join(large, "token", "left").select("token", F.explode(deals).cast("long").alias("deal"), F.coalesce(few.cast("long"), F.lit(-1).cast("long")).alias("few"), *names)
-    dealt = rows.repartition("token", "deal").sortWithinPartitions("token", "deal")
+    dealt = rows.repartition(_tasks(mixed.sparkSession), "token", "deal").sortWithinPartitions("token", "deal")
     out = written(map_arrow(dealt, partial(_across, similarity=similarity, best=best), "a long, b long").distinct())
     drop(large)
     return out

@@ -174,5 +174,6 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows with ids; null ids have a null text."""
+    """(doc_id, text) of rows with ids: null ids have a null text, no ids an empty one. Repeated rows and null doc_ids have a result
+    each; extra columns are not looked at; an empty table gives no rows."""
     return map_arrow(encoded.select(F.col("doc_id").cast("long"), "ids"), partial(_decoded, path=path), "doc_id long, text string")

@@ -177,6 +177,9 @@ def matches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Sets are dealt out by length partition, each bounded by what the similarity allows, and within it by the signatures
     that are rarest over all texts: of two alike sets, one such signature is shared (prefix filtering), so that common
     signatures never bring texts together. Pairs are compared only if their sizes allow the similarity.
+
+    Null and empty texts share a class (the words of none). Rows with equal sets are one class, so they give no pairs; a class of
+    rows without ids has a null id and no pairs. Extra columns are not looked at; an empty table gives no rows.
     """
     classes = written(class_of(docs).groupBy("class").agg(F.first("sigs").alias("sigs")))
     n = F.size("sigs")
@@ -196,7 +199,8 @@ def matches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def class_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, sigs): rows with equal signature sets share the smallest doc_id as class."""
+    """(doc_id, class, sigs): rows with equal signature sets share the smallest doc_id as class, null if none has one. Null and empty
+    texts are equal. Every row has a result, repeated ones, too; extra columns are not looked at; an empty table gives no rows."""
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs")).withColumn("key", F.xxhash64("sigs")))
     least = written(rows.groupBy("key").agg(F.min("doc_id").alias("class")))
     return rows.join(least, "key").select("doc_id", "class", "sigs")

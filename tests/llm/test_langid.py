@@ -71,3 +71,65 @@ def test_very_many_labels(spark):
     rows = [(i, f"text number {i}", f"x{i % 1500}") for i in range(3000)] + [(5000 + i, "the english words", "en") for i in range(30)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=40)
     assert "en" in model.top.classes or any("en" in d.classes for d in model.below.values())
+
+
+def plain_features(text):
+    """Shares of hashed letter n-grams, by plain loops."""
+    code = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    run = [32] + [c for i, c in enumerate(code) if c != 32 or i == 0 or code[i - 1] != 32] + [32]
+    mul, low, n = [int(m) for m in langid._MUL], (1 << 32) - 1, np.zeros(1 << langid.BITS)
+    one = [c * mul[0] & low for c in run]
+    two = [(one[i] ^ (run[i + 1] * mul[1] + 1 & low)) * mul[0] & low for i in range(len(run) - 1)]
+    three = [(two[i] ^ (run[i + 2] * mul[2] + 2 & low)) * mul[0] & low for i in range(len(run) - 2)]
+    for h in one + two + three:
+        n[h >> 32 - langid.BITS] += 1
+    return np.sqrt(n / n.sum())
+
+
+def plain_duel(duel, x):
+    """The class with most wins over the others, one by one; its score by its least margin."""
+    wins, sums, least = ({c: v for c in duel.classes} for v in (0, 0.0, np.inf))
+    for k, (a, b) in enumerate(duel.pairs):
+        m = float(x @ duel.weights[:, k].astype(float) + duel.bias[k])
+        for c, own in ((duel.classes[a], m), (duel.classes[b], -m)):
+            wins[c] += own > 0
+            sums[c] += own
+            least[c] = min(least[c], own)
+    best = max(duel.classes, key=lambda c: (wins[c], sums[c]))
+    return best, 1 / (1 + np.exp(-3 * min(least[best], 50)))
+
+
+def test_the_query_against_plain_loops(spark, docs):
+    """Family first, then the language within it, of every document of the whole table."""
+    from colsql.llm import queries
+
+    out = langid.bucket("doc_id", 3) == 1
+    model = langid.fit(docs.where(~out))
+    got = {r.doc_id: r for r in queries.op7_langid(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        x = plain_features(t)
+        assert np.allclose(x, langid.features(t))
+        fam, sure = plain_duel(model.top, x)
+        lang, inner = plain_duel(model.below[fam], x)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(sure * inner, abs=1e-4)
+
+
+def test_machines_are_nearly_the_best():
+    """The objective against a plain subgradient descent with many small steps."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(80, 6)).astype(np.float32)
+    sign, c = np.where(x[:, 0] - x[:, 1] + r.normal(size=80) > 0, 1.0, -1.0), 2.0
+    cost = lambda w, b: (w @ w + b * b) / 2 + c * np.maximum(0, 1 - sign * (x @ w + b)).sum()
+    w, b, best = np.zeros(6), 0.0, np.inf
+    for k in range(40_000):
+        inside = sign * (x @ w + b) < 1
+        step = 0.5 / (1 + k) ** 0.75
+        w, b = w - step * (w - c * (sign[inside] @ x[inside])) / 10, b - step * (b - c * sign[inside].sum()) / 10
+        best = min(best, cost(w, b))
+    got = cost(*langid.svm(x, sign, c=c, rounds=1000))
+    assert got <= 1.01 * best

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,27 @@ def planted(seed=4):
     return [t for t in texts if t]
 
 
+def across(rows, best):
+    """What _across gives for rows, as pairs."""
+    names = ["token", "deal", "few", "n", "at", "key", "whole", "root"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    return sorted((a, b) for x in nearcopies._across(iter([batch]), 0.8, best) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_loops_and_arrays_give_the_same(monkeypatch, seed):
+    r = random.Random(seed)
+    rows = [(1, 0, -1, r.randrange(20, 24), r.randrange(0, 4), k, r.getrandbits(63), r.choice([5, 5, 6, 7])) for k in range(r.randrange(2, 9))]
+    roots = [x[7] for x in rows]
+    if len({roots.count(q) for q in set(roots)}) < len(set(roots)):
+        rows = [(*x[:2], int(x[7] != 5), *x[3:]) for x in rows]  # no largest root by itself: say which
+    got = {}
+    for small in (8, 0):
+        monkeypatch.setattr(nearcopies, "SMALL", small)
+        got[small] = [across(rows, best) for best in (False, True)]
+    assert got[0][0] == got[8][0] and len(got[0][1]) == len(got[8][1]) and set(got[8][1]) <= set(got[8][0])
+
+
 @pytest.mark.parametrize("meet, hot", [(1 << 16, 1 << 16), (3, 1)])
 def test_the_exact_join_finds_all_pairs_by_itself(spark, monkeypatch, meet, hot):
     """Each text its own root. With meet and hot so small, shingles are dealt to several tasks and aren't gathered."""
