@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _released(batches: Iterator[pa.RecordBatch], f: Callable) -> Iterator[pa.RecordBatch]:
+    """f's batches; then what the task has freed goes back to the system, as its worker lives on beside later stages."""
+    yield from f(batches)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES (a row alone may have more). The session's settings say so,
     as they are read when a plan runs; smaller ones of the caller stay."""
@@ -30,7 +42,7 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
         now = str(df.sparkSession.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(partial(_released, f=f), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

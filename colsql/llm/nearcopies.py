@@ -38,6 +38,8 @@ HOT, HOT_TIMES = 1 << 16, 16
 MEET = 1 << 16
 #: Rows of a shingle up to which plain loops are faster than arrays.
 SMALL = 8
+#: Comparisons that are held at once.
+BLOCK = 250_000
 #: Texts whose repetition a task remembers.
 REMEMBERED = 1 << 20
 
@@ -125,7 +127,7 @@ PACKED = "part int, given boolean, keys binary, sizes binary, lengths binary, to
 SHARED = "token long, key long, n int, at int"
 
 
-def _postings(batches: Iterator[pa.RecordBatch], size: int, similarity: float, cells, parts: int, hold: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], size: int, similarity: float, cells, parts: int, hold: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Arrays of postings, dealt to parts by token; those of hot tokens by text, as given. Equal texts of a task come once."""
     order = cells.value
     hot = max(HOT, HOT_TIMES * float(order.mean()))
@@ -279,7 +281,7 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, best: bool) ->
         if len(starts) < 2:
             return
         rest = np.flatnonzero(~many)
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, BLOCK // len(x))
         bits = whole.view(np.uint64)
         for k in range(0, len(rest), step):
             i = rest[k : k + step]
@@ -317,7 +319,7 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_postings(texts: DataFrame, size: int, similarity: float, hold: int = 1 << 20) -> Written:
+def shared_postings(texts: DataFrame, size: int, similarity: float, hold: int = 1 << 18) -> Written:
     """(token, key, n, at) of texts(key, text): the postings of prefixes whose token several texts have.
 
     With shingles in one order everywhere, two sets that share s of theirs have a shingle in common among the first n - s + 1
